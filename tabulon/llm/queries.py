@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import decontaminate, jaccard_join, language, quality, sentencepieces
+from tabulon.llm import decontaminate, jaccard_join, language, licences, maxent_lm, quality, rans_ids, sentencepieces, url_filter, vantage_points
+from tabulon.llm.tables import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,17 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def token_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vantage_points.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +54,21 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.fit(docs)).drop("text")
+
+
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    return maxent_lm.score_texts(docs, docs.where(~F.col("held_out")))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.fit(pages)).select("page_id", "host", "path", "rule", "verdict", "words", "score")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sentencepieces.decode(sentencepieces.encode(docs, piece_model()), piece_model())
@@ -53,8 +80,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-ids")
+    rans_ids.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path, token_model(), end=2)
+    return rans_ids.read_ids(spark, path, ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_jaccard_join, op3_quality, op4_language, op8_sentencepiece, op9_decontaminate]
+    own = [op1_vantage_points, op2_jaccard_join, op3_quality, op4_language, op5_licences, op6_maxent_lm, op7_url_filter, op8_sentencepiece, op9_decontaminate, op10_rans_ids]
     return {f.__name__: f for f in own}
 
 
