@@ -14,6 +14,7 @@ word's occurrence, and a task holds one block's distinct units and a few megabyt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,16 @@ from pyspark.sql import functions as F
 from tabulon.llm import textbytes as tb
 
 #: Bytes of text in a block; longer units (in bytes) are encoded where they stand, as a fold's cost grows with the square.
-BLOCK, LONG = 128 << 20, 60
+BLOCK, LONG = 64 << 20, 60
 _MARK = "▁"
 _GROUP = 62  # blocks in a bit mask
 
 
+@lru_cache(maxsize=4)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
+
+
 class Pieces:
     """The piece table of a SentencePiece model file, with spaces for its space marks."""
 
@@ -48,7 +54,7 @@ class Pieces:
         normal = [i for i in range(n) if i not in control and not model.is_byte(i)]
         self.rows = [(self.names[i].replace(_MARK, " "), i, float(model.get_score(i))) for i in normal]
         self.longest = max(len(p) for p, _, _ in self.rows)
-        probe = "".join(p for p, _, _ in sorted(self.rows, key=lambda r: -len(r[0]))[:400])
+        probe = "".join(p for p, _, _ in sorted(self.rows, key=lambda r: -len(r[0]))[:40])
         self.bpe = model.encode(probe) == _merge_ids(self, probe)
         #: For bytes before and after a boundary of characters: whether some piece has them inside.
         self.inside = np.zeros((256, 256), bool)
@@ -101,7 +107,7 @@ def _strings(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
 
 
 def _units(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, key (its hash), g and mask (the blocks that need it) for every distinct short unit that a task meets, of docs (block, text)."""
+    """unit, g and mask (the blocks that need it) for every distinct short unit that a task meets, of docs (block, text)."""
     inside = pieces.inside
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +123,7 @@ def _units(docs: DataFrame, pieces: Pieces) -> DataFrame:
             return key[at], g[at], np.bitwise_or.reduceat(mask[order], new), text.take(pa.array(at))
 
         def batch_of(key, g, mask, text):
-            return pa.RecordBatch.from_arrays([text, pa.array(key.view(np.int64)), pa.array(g), pa.array(mask)], ["unit", "key", "g", "mask"])
+            return pa.RecordBatch.from_arrays([text, pa.array(g), pa.array(mask)], ["unit", "g", "mask"])
 
         for batch in batches:
             blocks = batch.column(0).to_numpy()
@@ -143,7 +149,7 @@ def _units(docs: DataFrame, pieces: Pieces) -> DataFrame:
         if held:
             yield batch_of(*merged())
 
-    return docs.select("block", "text").mapInArrow(run, "unit string, key long, g long, mask long")
+    return docs.select("block", "text").mapInArrow(run, "unit string, g long, mask long")
 
 
 def _literal(numbers) -> str:
@@ -227,22 +233,20 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
     gives an empty result.
     """
     docs = docs.drop("ids")
-    pieces = Pieces(model)
+    pieces = pieces_of(model)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block))
     names = docs.columns
     at = names.index("text")
     docs = docs.withColumn("__block", F.pmod(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]), F.lit(blocks)).cast("long"))
     units = _units(docs.select(F.col("__block").alias("block"), "text"), pieces).repartition("unit")
-    units = units.groupBy("unit", "g").agg(F.first("key").alias("key"), F.bit_or("mask").alias("mask"))
-    units = units.groupBy("unit").agg(F.first("key").alias("key"), F.collect_list(F.struct("g", "mask")).alias("needs"))
-    coded = encode_units(units, pieces)
+    units = units.groupBy("unit", "g").agg(F.bit_or("mask").alias("mask"))
+    units = units.groupBy("unit").agg(F.collect_list(F.struct("g", "mask")).alias("needs"))
     low = f"filter(sequence(0, {_GROUP - 1}), b -> (shiftright(x.mask, b) & 1) = 1)"
-    coded = coded.select("key", "ids", F.explode(F.expr(f"flatten(transform(needs, x -> transform({low}, b -> x.g * {_GROUP} + b)))")).alias("__block"))
+    needs = F.expr(f"flatten(transform(needs, x -> transform({low}, b -> x.g * {_GROUP} + b)))")
+    coded = encode_units(units, pieces).select("unit", "ids", needs.alias("blocks")).mapInArrow(_dictionary, _BUNDLE)
     schema = docs.drop("__block").select("*", F.lit(None).cast("array<int>").alias("ids")).schema
-    null = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in names]
-    both = docs.select("__block", F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__key"), F.lit(None).cast("array<int>").alias("__ids"), *names)
-    both = both.unionByName(coded.select("__block", F.lit(0).alias("__kind"), F.col("key").alias("__key"), F.col("ids").alias("__ids"), *null))
+    both = coded.unionByName(docs.select("__block", *names).mapInArrow(_bundles, _BUNDLE))
     inside, path = pieces.inside, model
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,19 +254,14 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
 
         library, current, fresh = None, None, True
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        key = ids = cut = None
+        key = ids = size = start = None
         for batch in batches:
-            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1), len(block)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                part = batch.slice(int(a), int(b - a))
-                if block[a] != current:
-                    current, held, fresh = block[a], [], True
-                if kind[a] == 0:
-                    lists = part.column(3)
-                    held.append((part.column(2).to_numpy().view(np.uint64), lists.flatten().to_numpy(), lists.value_lengths().to_numpy()))
+            for block, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block != current:
+                    current, held, fresh = block, [], True
+                part = _opened(payload)
+                if kind == 0:
+                    held.append((part.column(0).to_numpy().view(np.uint64), part.column(1).flatten().to_numpy(), part.column(1).value_lengths().to_numpy()))
                     fresh = True
                     continue
                 if fresh:
@@ -273,7 +272,7 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
                     order = np.argsort(key)
                     key, start, size = key[order], start[order], size[order]
                     held, fresh = [], False
-                for first, last, data, starts, ends, at_unit, hashed in _unit_slices(part.column(4 + at), inside):
+                for first, last, data, starts, ends, at_unit, hashed in _unit_slices(part.column(at), inside):
                     long = np.flatnonzero(ends - starts > LONG)
                     where = np.minimum(np.searchsorted(key, hashed), max(0, len(key) - 1))
                     here, begin, flat = (size[where].copy(), start[where].copy(), ids) if len(key) else (np.zeros(len(hashed), np.int64), np.zeros(len(hashed), np.int64), ids)
@@ -286,11 +285,70 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
                     total = np.concatenate([[0], np.cumsum(here)])
                     out = flat[np.repeat(begin - total[:-1], here) + np.arange(total[-1])]
                     rows = pa.ListArray.from_arrays(pa.array(total[at_unit].astype(np.int32)), pa.array(out.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([*(part.column(4 + i).slice(first, last - first) for i in range(len(names))), rows], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i).slice(first, last - first) for i in range(len(names))), rows], names=schema.names)
 
     return both.repartition("__block").sortWithinPartitions("__block", "__kind").mapInArrow(assemble, schema)
 
 
+_BUNDLE = "__block long, __kind int, payload binary"
+
+
+def _closed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(payload: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(payload.as_buffer()).read_next_batch()
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a block in front as compressed bundles of a block, of about a megabyte or one row."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    size: dict[int, int] = {}
+
+    def bundle(block):
+        table = pa.Table.from_batches(held.pop(block)).combine_chunks()
+        size.pop(block)
+        for b in table.to_batches():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([_closed(b)], pa.binary())], ["__block", "__kind", "payload"])
+
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        rest = batch.drop_columns([batch.schema.names[0]])
+        step = max(1, int(batch.num_rows * (1 << 22) / max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, step):
+            own = blocks[a : a + step]
+            for block in np.unique(own):
+                part = rest.take(pa.array(a + np.flatnonzero(own == block)))
+                held.setdefault(int(block), []).append(part)
+                size[int(block)] = size.get(int(block), 0) + part.nbytes
+                if size[int(block)] > 1 << 20:
+                    yield from bundle(int(block))
+        while sum(size.values()) > 64 << 20:  # many blocks: the largest go first
+            yield from bundle(max(size, key=size.get))
+    for block in [*held]:
+        yield from bundle(block)
+
+
+def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of units with ids and the blocks that need them: for every block a compressed table of unit hashes and ids."""
+    for batch in batches:
+        data, offsets = tb.buffers(pc.replace_substring(batch.column(0).cast(pa.large_string()), _MARK, " "))
+        keys = np.concatenate([np.zeros(0, np.uint64), *(tb.hashes(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a]) for a, b in tb.slices(offsets))])
+        blocks = batch.column(2)
+        unit = np.repeat(np.arange(batch.num_rows), blocks.value_lengths().to_numpy())
+        block = blocks.flatten().to_numpy()
+        ids = batch.column(1).cast(pa.list_(pa.int32()))
+        for k in np.unique(block):
+            rows = unit[block == k]
+            rows = rows[np.argsort(keys[rows])]
+            part = pa.RecordBatch.from_arrays([pa.array(keys[rows].view(np.int64)), ids.take(pa.array(rows))], ["key", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([0], pa.int32()), pa.array([_closed(part)], pa.binary())], ["__block", "__kind", "payload"])
+
+
 def _library_ids(library, unit: str) -> list[int]:
     """The ids of one unit: behind a mark that forms a unit of its own, as no piece has a line end."""
     head = library.encode("\n")
@@ -305,7 +363,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
     Null ids decode to null, none to the empty text; control pieces have no text, bytes that are no UTF-8 become
     replacement characters.
     """
-    pieces = Pieces(model)
+    pieces = pieces_of(model)
     byte = {i: b for b, i in enumerate(pieces.byte)} if pieces.fallback else {}
     normal = {i: p for p, i, _ in pieces.rows}
     table = [bytes([byte[i]]) if i in byte else normal.get(i, "").encode() for i in range(len(pieces.names))]
