@@ -87,9 +87,8 @@ def _prefixed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _unit_slices(column: pa.Array, inside: np.ndarray):
     """For each slice: first text, last text, bytes, starts, ends, first unit of each text and end, hashes."""
-    data, offsets = _prefixed(column)
-    for first, last in tb.slices(offsets):
-        part, own = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+    for first, last in tb.slices(tb.buffers(column)[1]):
+        part, own = _prefixed(column.slice(first, last - first))
         cut = np.zeros(len(part) + 1, bool)
         if len(part):
             cut[1:-1] = ~inside[part[:-1], part[1:]]
@@ -327,7 +326,7 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size[int(block)] = size.get(int(block), 0) + part.nbytes
                 if size[int(block)] > 1 << 20:
                     yield from bundle(int(block))
-        while sum(size.values()) > 64 << 20:  # many blocks: the largest go first
+        while sum(size.values()) > 16 << 20:  # many blocks: the largest go first
             yield from bundle(max(size, key=size.get))
     for block in [*held]:
         yield from bundle(block)
