@@ -26,6 +26,8 @@ from tabulon.llm import textbytes as tb
 
 #: Bytes of text in a block; longer units (in bytes) are encoded where they stand, as a fold's cost grows with the square.
 BLOCK, LONG = 64 << 20, 60
+#: Bytes of text for a part of the units, and most parts (the units grow far slower than the text).
+PART, PARTS = 4 << 20, 10_000
 _MARK = "▁"
 _GROUP = 62  # blocks in a bit mask
 
@@ -238,8 +240,9 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
     names = docs.columns
     at = names.index("text")
     docs = docs.withColumn("__block", F.pmod(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]), F.lit(blocks)).cast("long"))
-    units = _units(docs.select(F.col("__block").alias("block"), "text"), pieces).repartition("unit")
-    units = units.groupBy("unit", "g").agg(F.bit_or("mask").alias("mask"))
+    units = _units(docs.select(F.col("__block").alias("block"), "text"), pieces)
+    # a unit has some thirty edges: parts are small, whatever the planner thinks of the bytes shuffled
+    units = units.repartition(int(min(PARTS, max(1, total // PART))), "unit").groupBy("unit", "g").agg(F.bit_or("mask").alias("mask"))
     units = units.groupBy("unit").agg(F.collect_list(F.struct("g", "mask")).alias("needs"))
     low = f"filter(sequence(0, {_GROUP - 1}), b -> (shiftright(x.mask, b) & 1) = 1)"
     needs = F.expr(f"flatten(transform(needs, x -> transform({low}, b -> x.g * {_GROUP} + b)))")
