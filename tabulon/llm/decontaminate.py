@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
-from tabulon.llm.tables import written
+from tabulon.llm.tables import small_batches, written
 
 WINDOW, PREFIX, BLOCK = 8, 3, 16 << 20
 #: Blocks held by a task at once.
@@ -110,6 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
     Every document row gives one result; an empty benchmark leaves all documents clean.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     docs = docs.drop(*names)
     benchmark = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
-from tabulon.llm.tables import bounded_broadcast, components, written
+from tabulon.llm.tables import bounded_broadcast, components, small_batches, written
 
 #: Tokens in the broadcast table of frequent ones: 12 bytes each, so 3 MB at any size of the corpus.
 FREQUENT = 1 << 18
@@ -411,6 +411,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
     sketches = written(_sketches(docs, n, percent, _frequent(docs, n)), "jaccard-sketches")
     owner = F.coalesce("doc_id", F.lit(2**63 - 1))
     classes = sketches.where("set_id is not null").groupBy("set_id").agg(F.min(owner).alias("owner"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
+from tabulon.llm.tables import small_batches
 
 #: The fit's bounds: texts of the sample over all languages (16 MB of features), languages, hashed features, centroids per language.
 SAMPLE, LANGUAGES, DIMS, CENTROIDS = 4000, 1000, 2048, 4
@@ -94,6 +95,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> Model:
     Rows with null text or lang take no part. The most frequent LANGUAGES languages are learned.
     """
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    small_batches(docs.sparkSession)
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return Model(np.zeros((0, DIMS), np.float32), [], reject)
@@ -121,6 +123,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "rejected")
+    small_batches(docs.sparkSession)
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
     at = docs.columns.index("text")
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
+from tabulon.llm.tables import small_batches
 
 #: Longest n-gram; corpus paragraphs of the sample that the unknown class and its calibration are fitted on.
 GRAM, SAMPLE = 3, 4000
@@ -143,6 +144,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("n_paragraphs", "families", "notices")
+    small_batches(docs.sparkSession)
     schema = docs.selectExpr("*", "0L as n_paragraphs", "cast(array() as array<string>) as families", "cast(array() as array<struct<paragraph:bigint,family:string,probability:double,confirmed:boolean>>) as notices").schema
     at_text = docs.columns.index("text")
     kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
-from tabulon.llm.tables import written
+from tabulon.llm.tables import small_batches, written
 
 #: Classes, rows of the weight table (2 MB of weights), tokens of a minibatch, step size, words of the broadcast count table (3 MB).
 CLASSES, ROWS, BATCH, RATE, HEAD = 32, 1 << 14, 8192, 0.25, 1 << 18
@@ -165,6 +165,7 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*names)
+    small_batches(docs.sparkSession)
     vocabulary = written(count_words(training), "lm-words")
     stats = {r["class"]: (r["n"], r["v"]) for r in vocabulary.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n, v = sum(x for x, _ in stats.values()), sum(x for _, x in stats.values())

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
+from tabulon.llm.tables import small_batches
 
 #: The fit's bounds: labelled texts of the sample, hashed features, latent dimensions. 4 MB of features, 1 MB broadcast.
 SAMPLE, GRAMS, SHAPES, LATENT, NEIGHBOURS = 4000, 1000, 24, 48, 25
@@ -87,6 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most sample labelled texts (doc_id, text) and (doc_id, label 0 or 1), chosen by a hash of doc_id."""
     labels = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
     chosen = labels.join(docs.select("doc_id"), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +110,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score")
+    small_batches(docs.sparkSession)
     schema = docs.select("*", F.lit(0.0).alias("score")).schema
     at = docs.columns.index("text")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
-from tabulon.llm.tables import new_path, written
+from tabulon.llm.tables import new_path, small_batches, written
 
 #: Tokens of a block and between checkpoints, lanes, bits of the frequency scale, known pieces of text held by a worker (some 100 MB).
 BLOCK, CHECK, LANES, SCALE, KNOWN = 1 << 20, 1 << 18, 1024, 20, 1 << 21
@@ -236,6 +236,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
     end id alone. Rows without doc_id come first; rows with the same doc_id all stay, in any order among themselves. Other columns take no part.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, blocks, counts = _encoder(tokenizer, end), _Blocks(), np.zeros(end + 1, np.int64)
@@ -323,6 +324,7 @@ def read_ids(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
     A block whose checksum doesn't fit raises an error. Every block is read by itself.
     """
+    small_batches(spark)
     table = spark.read.parquet(f"{path}/table").first()
     shared = spark.sparkContext.broadcast((np.frombuffer(table["frequencies"], "<i4").astype(np.int64), table["scale"]))
 

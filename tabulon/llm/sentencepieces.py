@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
+from tabulon.llm.tables import small_batches
 
 #: Bytes of text in a block; longer units (in bytes) are encoded where they stand, as a fold's cost grows with the square.
 BLOCK, LONG = 64 << 20, 60
@@ -234,6 +235,7 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
     gives an empty result.
     """
     docs = docs.drop("ids")
+    small_batches(docs.sparkSession)
     pieces = pieces_of(model)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block))
@@ -371,6 +373,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
     table = [bytes([byte[i]]) if i in byte else normal.get(i, "").encode() for i in range(len(pieces.names))]
     size = np.array([len(x) for x in table])
     start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
+    small_batches(df.sparkSession)
     df = df.drop(out)
     schema = df.select("*", F.lit("").alias(out)).schema
     at = df.columns.index(ids)
