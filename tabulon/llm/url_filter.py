@@ -57,7 +57,7 @@ def runs(text: str) -> list[str]:
 
 
 class Lexicon:
-    """Unigram log probabilities; a word outside costs by its length."""
+    """Unigram log probabilities; a stretch outside the lexicon costs as a rare word and by its length."""
 
     def __init__(self, counts: dict[str, int]):
         counts = dict(counts)
@@ -66,18 +66,19 @@ class Lexicon:
         total = sum(counts.values())
         self.cost = {w: -math.log(c / total) for w, c in counts.items() if len(w) <= LONGEST}
         self.unknown = math.log(total) + 2
+        self.letter = 1.0
         self.memo: dict[str, list[str]] = {}
 
     def segment(self, run: str) -> list[str]:
-        """The words of the best path; characters outside any word are words of their own, joined when adjacent."""
+        """The words and unknown stretches of the best path."""
         if run in self.memo:
             return self.memo[run]
         best, back = [0.0], [0]
         for j in range(1, len(run) + 1):
-            cost, i = best[j - 1] + self.unknown, j - 1
+            cost, i = math.inf, j - 1
             for k in range(max(0, j - LONGEST), j):
-                c = self.cost.get(run[k:j])
-                if c is not None and best[k] + c < cost:
+                c = self.cost.get(run[k:j], self.unknown + self.letter * (j - k))
+                if best[k] + c < cost:
                     cost, i = best[k] + c, k
             best.append(cost)
             back.append(i)
@@ -116,11 +117,13 @@ class Bayes:
 
 
 def fit(pages: DataFrame) -> tuple[Lexicon, Bayes]:
-    """Learn the lexicon from the runs of all URLs (the LEXICON most frequent) and the classes from all URLs."""
+    """Learn the lexicon from the runs of all URLs (the LEXICON most frequent of those on several hosts) and the classes from all URLs."""
     host, path = split_url()
     names = pages.select(host.alias("host"), path.alias("path"))
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), F.lit(1))
-    counts = names.select(F.explode(F.concat(split(F.col("host")), split(F.col("path")))).alias("w")).where(F.length("w") <= LONGEST).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    runs_of = names.select("host", F.explode(F.concat(split(F.col("host")), split(F.col("path")))).alias("w")).where(F.length("w") <= LONGEST)
+    # a name of one host alone is no word, but a name to be segmented
+    counts = runs_of.groupBy("w", "host").count().groupBy("w").agg(F.sum("count").alias("c"), F.count(F.lit(1)).alias("hosts")).where("hosts > 1")
     lexicon = Lexicon({r["w"]: r["c"] for r in counts.orderBy(F.desc("c"), "w").limit(LEXICON).collect()})
     shared = pages.sparkSession.sparkContext.broadcast(lexicon)
 
