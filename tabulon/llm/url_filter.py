@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the learned lexicon, longest word, weight of a seed word's count.
-LEXICON, LONGEST, SEED = 50_000, 24, 50
+#: Words of the learned lexicon, longest word, weight of a seed word's count, words of smoothing.
+LEXICON, LONGEST, SEED, SMOOTH = 50_000, 24, 50, 10
 
 # Words of hosts and paths that a web corpus leaves out, and common words of other sites.
 BLOCK_WORDS = """adult porn xxx sex nude casino casinos poker bet bets betting gambling slots jackpot lottery pills viagra
@@ -101,14 +101,21 @@ def seeded(words: list[str]) -> bool:
 
 
 class Bayes:
-    """Multinomial naive Bayes with add-one counts of words, given (class, word, count) and (class, URLs)."""
+    """Multinomial naive Bayes, given (class, word, count) and (class, URLs).
+
+    Counts are smoothed by SMOOTH words of both classes' own mix, so a rare word of the larger class is no sign of the smaller.
+    """
 
     def __init__(self, words: list[tuple[int, str, int]], urls: dict[int, int]):
         vocabulary = {w for _, w, _ in words}
         totals = {c: sum(n for k, _, n in words if k == c) for c in (0, 1)}
         count = {(c, w): n for c, w, n in words}
-        size = len(vocabulary) + 1
-        self.weight = {w: math.log((count.get((1, w), 0) + 1) / (totals[1] + size)) - math.log((count.get((0, w), 0) + 1) / (totals[0] + size)) for w in vocabulary}
+        both = max(1, totals[0] + totals[1])
+        self.weight = {}
+        for w in vocabulary:
+            n0, n1 = count.get((0, w), 0), count.get((1, w), 0)
+            mix = SMOOTH * (n0 + n1) / both
+            self.weight[w] = math.log((n1 + mix) / (totals[1] + SMOOTH)) - math.log((n0 + mix) / (totals[0] + SMOOTH))
         self.prior = math.log(urls.get(1, 0) + 1) - math.log(urls.get(0, 0) + 1)
 
     def score(self, words: list[str]) -> float:
