@@ -75,7 +75,7 @@ def _frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             for _, sets in set_slices(batch.column(0), n):
                 held += sets
                 size += sum(map(len, sets))
-                if size >= 1 << 22:
+                if size >= 1 << 20:
                     yield report()
                     held, size = [], 0
         yield report()
