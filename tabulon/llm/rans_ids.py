@@ -137,7 +137,7 @@ class _Encoder:
     def slices(self, column: pa.Array):
         """For each slice: first text, ids of its texts with the end id behind each, lengths."""
         data, offsets = tb.buffers(column)
-        for first, last in tb.slices(offsets):
+        for first, last in tb.slices(offsets, 1 << 20):
             part, own = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             n = last - first
             raw = part.tobytes()

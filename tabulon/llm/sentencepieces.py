@@ -142,7 +142,7 @@ def _units(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 one = order[new]
                 held.append((h[new], gs[new], np.bitwise_or.reduceat(bit[order], new), _strings(part, starts[one], ends[one])))
                 size += len(new)
-                if size > 500_000:
+                if size > 400_000:
                     held = [merged()]
                     size = len(held[0][0])
                     if size > 350_000:

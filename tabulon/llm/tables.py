@@ -27,9 +27,9 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB instead of Spark's default of 64, of which a task holds several copies; a value that was set stays."""
+    """Arrow batches of 4 MB instead of Spark's default of 64, of which a task holds several copies; a value that was set stays."""
     if spark.conf.get(_BATCH) in ("64m", "64MB", "67108864", "67108864b"):
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "4m")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 pa.set_memory_pool(pa.system_memory_pool())
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
-SLICE = 1 << 19
+SLICE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
