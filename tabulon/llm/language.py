@@ -2,12 +2,13 @@
 
 A text's letters (A-Z lower-cased, everything else a space) give hashed byte n-grams of one to three bytes. Their
 root frequencies, weighted by inverse document frequency and normalised, are compared by cosine with several centroids per language,
-which spherical k-means has made of a bounded sample of texts of known language. A text whose nearest centroid is
-farther than nearly all of the sample's texts were from theirs is rejected.
+which spherical k-means has made of a bounded sample of texts of known language. A text is rejected if its nearest
+centroid is farther than nearly all stretches of as many letters, cut from its language's sample, were from theirs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +21,15 @@ from tabulon.llm.tables import small_batches
 
 #: The fit's bounds: texts of the sample over all languages (16 MB of features), languages, hashed features, centroids per language.
 SAMPLE, LANGUAGES, DIMS, CENTROIDS = 4000, 1000, 2048, 4
-#: A text is rejected below this share of the cosine that all but a thousandth of its language's sample reach.
-REJECT = 0.5
+#: A text is rejected below the cosine that all but this share of its language's stretches of about its length reach; least stretches of a length.
+REJECT, STRETCHES = 0.02, 20
 #: Clusters with a smaller share of their language's sample are dropped.
 LEAST_SHARE = 0.03
 _LETTER = tb.byte_class([(65, 90), (97, 122), (128, 255)])
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each slice: its first text, a row of DIMS root frequencies per text, and whether the text has a letter."""
+    """For each slice: its first text, a row of DIMS root frequencies per text, and its bytes of letters, 0 without a letter."""
     data, offsets = tb.buffers(column)
     for first, last in tb.slices(offsets):
         part, own = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
@@ -40,12 +41,13 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             key = key * np.uint64(256) + b[k : n + k]
             grams.append((tb.mix(key + np.uint64(k << 40)) % np.uint64(DIMS)).astype(np.int64))
         out = np.zeros((last - first, DIMS), np.float32)
-        letters = np.zeros(last - first, bool)
+        letters = np.zeros(last - first, np.int64)
         for i in range(last - first):
             a, e = own[i], own[i + 1]
             if not letter[a:e].any():
                 continue
-            letters[i] = bool((part[a:e][letter[a:e]] < 128).any()) or any(c.isalpha() for c in bytes(part[a:e]).decode("utf-8", "replace"))
+            if (part[a:e][letter[a:e]] < 128).any() or any(c.isalpha() for c in bytes(part[a:e]).decode("utf-8", "replace")):
+                letters[i] = letter[a:e].sum()
             for k, g in enumerate(grams):
                 g = g[a:e]
                 out[i] += np.bincount(g[letter[a:e]] if k == 0 else g, minlength=DIMS)
@@ -56,14 +58,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def stretches(text: str) -> list[str]:
+    """The text, and of 4, 8, 16 ... characters one stretch each that starts with a word, as far as the text is longer."""
+    out, n = [text], 4
+    while n < len(text):
+        at = zlib.crc32(f"{n} {text[:64]}".encode()) % (len(text) - n)
+        out.append(text[max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1 :][:n] if at else text[:n])
+        n *= 2
+    return out
+
+
 class Model:
-    """IDF weights; centroids with their languages; each language's cosine for rejection."""
+    """IDF weights; centroids with their languages; each language's cosines for rejection, by length."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], reject: float = REJECT):
+    def __init__(self, x: np.ndarray, langs: list[str]):
         self.languages = sorted(set(langs))
         self.idf = (np.log((len(x) + 1) / ((x > 0).sum(0) + 1)) + 0.1).astype(np.float32)
         x, langs = unit(x * self.idf), np.array(langs, object)
-        centres, self.owner, self.least = [], [], np.zeros(len(self.languages))
+        centres, self.owner, self.least = [], [], [(np.zeros(1), np.zeros(1))] * len(self.languages)
         for n, lang in enumerate(self.languages):
             own = x[langs == lang]
             k = min(CENTROIDS, len(own))
@@ -76,17 +88,27 @@ class Model:
             c = c[share >= min(LEAST_SHARE, share.max())]
             centres.append(c)
             self.owner += [n] * len(c)
-            self.least[n] = reject * np.quantile((own @ c.T).max(1), 0.001)
         self.centres = np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32)
         self.owner = np.array(self.owner, int)
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the language, cosine with its nearest centroid (0 to 1), and whether it is too far to be trusted."""
+    def calibrate(self, lang: np.ndarray, letters: np.ndarray, cosine: np.ndarray, reject: float = REJECT) -> None:
+        """Each language's least cosine at each binary order of letters that enough stretches have."""
+        order = np.round(np.log2(letters)).astype(int)
+        for n in np.unique(lang):
+            own, c = order[lang == n], cosine[lang == n]
+            at = [k for k in np.unique(own) if (own == k).sum() >= STRETCHES]
+            self.least[n] = (np.array(at, float), np.array([np.quantile(c[own == k], reject) for k in at])) if at else (np.zeros(1), np.quantile(c, [reject]))
+
+    def predict(self, x: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language, cosine with its nearest centroid (0 to 1), and whether it is too far for its length to be trusted."""
         cosines = unit(x * self.idf) @ self.centres.T
         at = cosines.argmax(1)
         best = np.clip(cosines[np.arange(len(x)), at].astype(float), 0, 1)
         lang = self.owner[at]
-        return lang, best, best < self.least[lang]
+        limit = np.zeros(len(x))
+        for n in np.unique(lang):
+            limit[lang == n] = np.interp(np.log2(letters[lang == n]), *self.least[n])
+        return lang, best, best < limit
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> Model:
@@ -98,7 +120,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> Model:
     small_batches(docs.sparkSession)
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
-        return Model(np.zeros((0, DIMS), np.float32), [], reject)
+        return Model(np.zeros((0, DIMS), np.float32), [])
     share = max(2, sample // len(counts))
     wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))])[F.col("lang")]
     chance = (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language")) / F.lit(2.0**64)) + 0.5
@@ -106,12 +128,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> Model:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, x, letters in features(batch.column("text")):
-                keep = pa.array(letters)
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(first, len(x)).filter(keep), pa.array([r.tobytes() for r in x[letters]], pa.binary())], ["lang", "x"])
+                keep = letters > 0
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(first, len(x)).filter(pa.array(keep)), pa.array([r.tobytes() for r in x[keep]], pa.binary())], ["lang", "x"])
 
-    table = docs.where(chance < wanted).select("text", "lang").mapInArrow(rows, "lang string, x binary").orderBy("lang", "x").limit(2 * sample).toArrow()
+    drawn = docs.where(chance < wanted).select("text", "lang")
+    table = drawn.mapInArrow(rows, "lang string, x binary").orderBy("lang", "x").limit(2 * sample).toArrow()
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, DIMS)
-    return Model(x, table.column("lang").to_pylist(), reject)
+    model = Model(x, table.column("lang").to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        index = {lang: n for n, lang in enumerate(m.languages)}
+        for batch in batches:
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                if lang not in index:
+                    continue
+                for _, x, letters in features(pa.array(stretches(text), pa.string())):
+                    if (letters > 0).any():
+                        best = (unit(x[letters > 0] * m.idf) @ m.centres[m.owner == index[lang]].T).max(1)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), index[lang])), pa.array(letters[letters > 0]), pa.array(best.astype(float))], ["lang", "letters", "cosine"])
+
+    if len(x):
+        found = drawn.mapInArrow(cosines, "lang long, letters long, cosine double").toArrow()
+        model.calibrate(*(found.column(i).to_numpy() for i in range(3)), reject)
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -119,7 +160,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is a learned language, or `und` (score 0, rejected) if text is null, empty or has no letter, or nothing
     was learned. score is the cosine with the nearest centroid. rejected: und, or too far from every centroid; a text
-    as near as its language's sample is kept. An empty table gives an empty result.
+    as near as its language's stretches of its length is kept. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "rejected")
@@ -133,9 +174,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             lang, score, rejected = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             for first, x, letters in features(batch.column(at)):
-                if len(m.languages) and letters.any():
-                    rows = first + np.flatnonzero(letters)
-                    lang[rows], score[rows], rejected[rows] = m.predict(x[letters])
+                some = np.flatnonzero(letters)
+                if len(m.languages) and len(some):
+                    lang[first + some], score[first + some], rejected[first + some] = m.predict(x[some], letters[some])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[lang], pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
     return docs.mapInArrow(predict, schema)
