@@ -3,8 +3,9 @@
 A paragraph (a line of a text) is a sparse set of word n-grams. A multinomial logistic regression, trained here on
 notices built from the licence names and sentences below and on paragraphs of the corpus as the unknown class, gives
 each licence family's probability. The unknown class is calibrated: a family is only predicted if its probability is above what
-all but a thousandth of unknown paragraphs held out of the training reach. A prediction is confirmed by comparison with the family's templates: one of
-its names stands in the paragraph, or the paragraph holds half of the word pairs of one of its sentences.
+all but a thousandth of the corpus's distinct unknown paragraphs held out of the training reach. A prediction is confirmed by comparison with the
+families' templates: a name stands in the paragraph, or the paragraph holds half of the word pairs of a sentence. Paragraphs that a template
+confirms are no unknown ones, neither in the training nor in the calibration.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from tabulon.llm import textbytes as tb
 from tabulon.llm.tables import small_batches
 
-#: Longest n-gram; corpus paragraphs of the sample that the unknown class and its calibration are fitted on.
-GRAM, SAMPLE = 3, 4000
+#: Longest n-gram; distinct corpus paragraphs of the sample that the unknown class is fitted on; steps of the calibrated probability.
+GRAM, SAMPLE, STEPS = 3, 4000, 10_000
 
 # Names of licence families, and sentences of their texts.
 NAMES = {
@@ -67,6 +68,10 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
         return tb.mix(out + np.uint64(n << 50))
 
 
+#: Paragraphs: bytes between line ends.
+_LINE = tb.byte_class([(10, 10)], inside=False)
+
+
 class Model:
     """n-grams of the notices with a row of weights each; class 0 is unknown."""
 
@@ -81,11 +86,13 @@ class Model:
         self.keys = np.unique(np.concatenate(positive))
         self.there = np.zeros(1 << 20, bool)
         self.there[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        train, held = OTHERS + unknown[: len(unknown) // 2], unknown[len(unknown) // 2 :]
-        texts += train
-        labels += [0] * len(train)
         self.names = [[w for w in _words(NAMES[f])] for f in self.families]
         self.pairs = [[set(_grams(w, 2).tolist()) for w in _words(SENTENCES.get(f, []))] for f in self.families]
+        unknown = [t for t, w in zip(unknown, _words(unknown), strict=True) if not self.confirmations(w)]
+        self.trained = line_hashes(unknown)
+        train = OTHERS + unknown
+        texts += train
+        labels += [0] * len(train)
         rows = [self.features(w) for w in _words(texts)]
         x = np.zeros((len(rows), len(self.keys) + 1), np.float32)
         for i, r in enumerate(rows):
@@ -105,20 +112,20 @@ class Model:
             w -= 0.5 * g / np.sqrt(square)
         self.weights = w
         self.least = 0.5
-        if held:
-            best = [1 - self.probabilities(self.features(h))[0] for h in _words(held)]
-            self.least = float(max(0.5, min(0.95, np.quantile(best, 0.999))))
+
+    def calibrate(self, counts: dict[int, int]) -> None:
+        """Set the threshold, given how many unknown paragraphs have a probability of each of STEPS steps."""
+        steps = np.array(sorted(counts))
+        if len(steps):
+            below = np.cumsum([counts[k] for k in steps])
+            at = steps[np.searchsorted(below, 0.999 * below[-1])]
+            self.least = float(max(0.5, min(0.95, (at + 1) / STEPS)))
 
     def features(self, words: np.ndarray) -> np.ndarray:
         own = np.unique(np.concatenate([_grams(words, n) for n in range(1, GRAM + 1)]))
         at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
         return at[self.keys[at] == own]
 
-    def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        z = self.weights[rows].sum(0) + self.weights[-1]
-        p = np.exp(z - z.max())
-        return p / p.sum()
-
     def confirmed(self, family: int, words: np.ndarray) -> bool:
         for name in self.names[family]:
             if len(name) and len(words) >= len(name) and (np.lib.stride_tricks.sliding_window_view(words, len(name)) == name).all(1).any():
@@ -126,20 +133,75 @@ class Model:
         own = set(_grams(words, 2).tolist())
         return any(p and len(p & own) * 2 >= len(p) for p in self.pairs[family])
 
+    def confirmations(self, words: np.ndarray) -> list[int]:
+        """The families whose templates confirm the paragraph."""
+        return [k for k in range(len(self.families)) if self.confirmed(k, words)]
+
+    def paragraphs(self, column: pa.Array):
+        """For each slice: first text, last text, bytes, starts and ends of its paragraphs, each text's first paragraph and end, words and their
+        paragraphs, the paragraphs that share an n-gram with a notice, and their classes' probabilities."""
+        data, offsets = tb.buffers(column)
+        for first, last in tb.slices(offsets):
+            part, own = tb.LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
+            starts, ends, at = tb.spans(part, own, _LINE)
+            ws, we, _ = tb.spans(part, own, tb.ALNUM)
+            words = tb.hashes(part, ws, we)
+            paragraph = np.searchsorted(starts, ws, "right") - 1
+            hits, rows = [], []
+            for n in range(1, GRAM + 1):
+                g = _grams(words, n)
+                pos = np.flatnonzero(self.there[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
+                where = np.minimum(np.searchsorted(self.keys, g[pos]), len(self.keys) - 1)
+                fine = (self.keys[where] == g[pos]) & (paragraph[pos] == paragraph[pos + n - 1])
+                hits.append(paragraph[pos[fine]])
+                rows.append(where[fine])
+            pair = np.unique(np.concatenate(hits) * np.int64(len(self.keys)) + np.concatenate(rows))
+            p, r = pair // len(self.keys), pair % len(self.keys)
+            begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+            z = (np.add.reduceat(self.weights[r], begin, axis=0) if len(p) else np.zeros((0, self.weights.shape[1]))) + self.weights[-1]
+            z = np.exp(z - z.max(1, keepdims=True))
+            z /= z.sum(1, keepdims=True)
+            yield first, last, part, starts, ends, at, words, paragraph, p[begin], z
+
+
+def line_hashes(lines: list[str]) -> np.ndarray:
+    data, offsets = tb.buffers(pa.array(lines, pa.string()))
+    return np.sort(tb.hashes(tb.LOWER[data], offsets[:-1], offsets[1:]))
+
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model, with about sample paragraphs of docs (text) as the unknown class: one or more of each text drawn by hash."""
-    n = docs.count()
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // 500))) == 0)
-    lines = chosen.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0").orderBy(F.xxhash64("line")).limit(sample)
-    return Model([r["line"] for r in lines.collect()])
+    """The model, with about sample distinct paragraphs of docs (text), at most about half of them, as the unknown class, calibrated on all others."""
+    small_batches(docs.sparkSession)
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0").withColumn("h", F.xxhash64("line"))
+    n = lines.agg(F.approx_count_distinct("h")).first()[0]
+    chosen = lines.where(F.pmod("h", F.lit(max(2, n // sample))) == 0).select("line", "h").distinct().orderBy("h", "line").limit(sample)
+    model = Model([r["line"] for r in chosen.collect()])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        none = np.exp(m.weights[-1] - m.weights[-1].max())
+        for batch in batches:
+            for _, _, part, starts, ends, _, words, paragraph, hit, z in m.paragraphs(batch.column(0)):
+                h, best = tb.hashes(part, starts, ends), np.full(len(starts), 1 - none[0] / none.sum())
+                best[hit] = 1 - z[:, 0]
+                keep = ~np.isin(h, m.trained)
+                for k in hit[1 - z[:, 0] > 0.5]:
+                    a, b = np.searchsorted(paragraph, [k, k + 1])
+                    keep[k] &= not m.confirmations(words[a:b])
+                h, one = np.unique(h[keep], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(best[keep][one] * STEPS, STEPS - 1).astype(np.int32))], ["h", "step"])
+
+    steps = docs.select("text").mapInArrow(unknown, "h long, step int").groupBy("h").agg(F.max("step").alias("step")).groupBy("step").count()
+    model.calibrate({r["step"]: r["count"] for r in steps.collect()})
+    return model
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """docs with n_paragraphs, families and notices, which replace columns of these names.
 
     n_paragraphs: lines that aren't empty. notices: for every paragraph with a predicted family, in order, its number
-    (from 1), the family, its probability, and whether a template confirms it. families: the distinct confirmed families, sorted.
+    (from 1), every family that a template confirms, or else the likeliest one, with its probability and whether it is confirmed. families: the distinct confirmed families, sorted.
     Null and empty texts have none. Whole texts are scanned, whatever their length; repeated rows give the same result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -148,40 +210,18 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.selectExpr("*", "0L as n_paragraphs", "cast(array() as array<string>) as families", "cast(array() as array<struct<paragraph:bigint,family:string,probability:double,confirmed:boolean>>) as notices").schema
     at_text = docs.columns.index("text")
     kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
-    line = tb.byte_class([(10, 10)], inside=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data, offsets = tb.buffers(batch.column(at_text))
-            for first, last in tb.slices(offsets):
-                part, own = tb.LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
-                starts, _, at = tb.spans(part, own, line)
-                ws, we, _ = tb.spans(part, own, tb.ALNUM)
-                words = tb.hashes(part, ws, we)
-                paragraph = np.searchsorted(starts, ws, "right") - 1
-                hits, rows = [], []
-                for n in range(1, GRAM + 1):
-                    g = _grams(words, n)
-                    pos = np.flatnonzero(m.there[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                    where = np.minimum(np.searchsorted(m.keys, g[pos]), len(m.keys) - 1)
-                    fine = (m.keys[where] == g[pos]) & (paragraph[pos] == paragraph[pos + n - 1])
-                    hits.append(paragraph[pos[fine]])
-                    rows.append(where[fine])
-                pair = np.unique(np.concatenate(hits) * np.int64(len(m.keys)) + np.concatenate(rows))
+            for first, last, _, _, _, at, words, paragraph, hit, z in m.paragraphs(batch.column(at_text)):
                 notices: list[list[dict]] = [[] for _ in range(last - first)]
-                if len(pair):
-                    p, r = pair // len(m.keys), pair % len(m.keys)
-                    begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-                    z = np.add.reduceat(m.weights[r], begin, axis=0) + m.weights[-1]
-                    z = np.exp(z - z.max(1, keepdims=True))
-                    z /= z.sum(1, keepdims=True)
-                    best = z[:, 1:].argmax(1)
-                    for i in np.flatnonzero(1 - z[:, 0] > m.least):
-                        k = int(p[begin[i]])
-                        text = int(np.searchsorted(at, k, "right") - 1)
-                        a, b = np.searchsorted(paragraph, [k, k + 1])
-                        notices[text].append({"paragraph": k - int(at[text]) + 1, "family": m.families[best[i]], "probability": float(z[i, 1 + best[i]]), "confirmed": m.confirmed(int(best[i]), words[a:b])})
+                for i in np.flatnonzero(1 - z[:, 0] > m.least):
+                    k = int(hit[i])
+                    text = int(np.searchsorted(at, k, "right") - 1)
+                    a, b = np.searchsorted(paragraph, [k, k + 1])
+                    sure = m.confirmations(words[a:b])
+                    notices[text] += [{"paragraph": k - int(at[text]) + 1, "family": m.families[f], "probability": float(z[i, 1 + f]), "confirmed": bool(sure)} for f in sure or [int(z[i, 1:].argmax())]]
                 families = [sorted({x["family"] for x in n if x["confirmed"]}) for n in notices]
                 new = [pa.array(np.diff(at).astype(np.int64)), pa.array(families, pa.list_(pa.string())), pa.array(notices, kind)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in batch.columns), *new], names=schema.names)

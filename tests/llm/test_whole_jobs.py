@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import language
+from tabulon.llm import language, licences
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +27,14 @@ def test_language_rejects_gibberish_and_unlearned_languages_by_length(spark, pro
     short = rest.select("lang", F.explode(F.array(*[F.substring("text", 1, n) for n in (12, 25, 50, 100, 100_000)])).alias("text"))
     rows = language.identify(short, model).collect()
     assert len(rows) > 500 and np.mean([r["rejected"] for r in rows]) < 0.05
+
+
+def test_licence_notices_of_a_hot_source_are_no_unknown_lines(spark, prose):
+    """Short texts that all end with a notice, in two wordings; a line with two families."""
+    hot = ["This page and its text are under the terms of CC0 1.0 as given.", "Material of this site: ISC License."]
+    short = prose.where("length(text) > 0").select("doc_id", F.substring("text", 1, 60).alias("text")).limit(600)
+    many = spark.range(10).crossJoin(short).select("doc_id", F.concat(F.translate("text", "\n", " "), F.col("id").cast("string"), F.lit("\n"), F.when(F.col("id") < 5, hot[0]).otherwise(hot[1])).alias("text"))
+    rows = [(1, hot[0]), (2, hot[1]), (3, "Code under the MIT License, text under the GNU General Public License."), (4, "The license of the driver was renewed.")]
+    model = licences.fit(many)
+    got = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: ["cc0"], 2: ["isc"], 3: ["gpl", "mit"], 4: []}
