@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import language, licences
+from tabulon.llm import language, licences, url_filter
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,16 @@ def test_licence_notices_of_a_hot_source_are_no_unknown_lines(spark, prose):
     model = licences.fit(many)
     got = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got == {1: ["cc0"], 2: ["isc"], 3: ["gpl", "mit"], 4: []}
+
+
+def test_url_words_beyond_the_broadcast_ones_keep_their_weights(spark, monkeypatch):
+    """The same verdicts and scores, whether all words' weights are broadcast or those of three."""
+    letters = "bcdfghjklmnp"
+    names = [a + "o" + b + "u" + c for a in letters for b in letters for c in letters][:400]
+    urls = [f"http://{n}{i}.example.net/casino/{n}" for n in names[:40] for i in range(2)] + [f"http://{n}{i}.example.net/quiet/{n}" for n in names[20:] for i in range(2)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    run = lambda: {r["page_id"]: (r["words"], round(r["score"], 9), r["verdict"]) for r in url_filter.judge(pages, url_filter.fit(pages)).collect()}
+    want = run()
+    for name, value in (("HEAD", 3), ("LEXICON", 2)):  # LEXICON was the bound before
+        monkeypatch.setattr(url_filter, name, value, raising=False)
+    assert len({w for words, _, _ in want.values() for w in words}) > 400 and run() == want
