@@ -27,13 +27,19 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least doc_id. Rows without doc_id stay."""
-    found = written(jaccard_join.near_duplicates(docs), "pipeline-groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(bounded_broadcast(gone, 16), "doc_id", "left_anti").select(docs.columns)
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """Of each group of near duplicates one row: that of the least doc_id (rows without one come last), then of the least hash of its text.
+
+    Rows are told apart by a key of their own, so other texts with the doc_id of a dropped row stay, and copies without a
+    doc_id go. Texts without words have no duplicates.
+    """
+    # keys begin with 1: near_duplicates misses links of an id 0, whose hash is 0
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id() + 1), "pipeline-rows")
+    found = jaccard_join.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "__row").alias("place")
+    groups = written(found.join(keyed.select("__row", place), "__row"), "pipeline-groups")
+    keepers = groups.groupBy("component_id").agg(F.min("place").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("keeper.__row").alias("keeper"))
+    gone = groups.join(bounded_broadcast(keepers, 16), "component_id").where("__row <> keeper").select("__row")
+    return keyed.join(bounded_broadcast(gone, 16), "__row", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabulon.llm import language, licences, url_filter
 
 
@@ -51,3 +52,12 @@ def test_url_words_beyond_the_broadcast_ones_keep_their_weights(spark, monkeypat
     for name, value in (("HEAD", 3), ("LEXICON", 2)):  # LEXICON was the bound before
         monkeypatch.setattr(url_filter, name, value, raising=False)
     assert len({w for words, _, _ in want.values() for w in words}) > 400 and run() == want
+
+
+def test_near_duplicates_go_by_row(spark, sf):
+    """Repeated ids with different texts, and rows without an id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (6, a + " more"), (7, c), (None, c), (None, d), (None, d), (None, d + " end"), (8, ""), (8, None), (8, ""), (9, b)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf).collect()
+    groups = sorted(((r["doc_id"], (r["text"] or "-")[0]) for r in kept), key=str)
+    assert groups == sorted([(3, "a"), (5, "b"), (7, "c"), (None, "d"), (8, "-"), (8, "-"), (8, "-")], key=str)
