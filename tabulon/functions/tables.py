@@ -22,7 +22,7 @@ for name, build in {
     "TOCOL": arrays.to_column, "TOROW": arrays.to_column, "WRAPROWS": arrays.wrap_rows, "WRAPCOLS": arrays.wrap_columns, "SEQUENCE": arrays.sequence,
     "MUNIT": arrays.munit, "MMULT": arrays.mmult, "TRANSPOSE": arrays.transpose, "MINVERSE": arrays.minverse, "SCAN": arrays.scan,
     "GROUPBY": grouping.groupby, "PIVOTBY": grouping.pivotby, "XLOOKUP": lookup.xlookup, "XMATCH": lookup.match, "MATCH": lookup.match,
-    "VLOOKUP": lookup.vlookup, "HLOOKUP": lookup.vlookup, "LOOKUP": lookup.lookup,
+    "VLOOKUP": lookup.vlookup, "LOOKUP": lookup.lookup,
     **{n: (lambda df, field, rows, n=n: grouping.database(df, n, field, rows)) for n in (*grouping._DATABASE, "DGET", "DCOUNTA")},
     "INDEX": lambda df, place, row, column: df.where(F.col(place) == row).select(df.columns[column - 1]),
     "ROWS": lambda df: df.count(), "COLUMNS": lambda df: len(df.columns),
@@ -34,7 +34,6 @@ for name, build in {
     "RANK.EQ": lambda value, order=0: F.rank().over(Window.orderBy(F.asc(value) if order else F.desc(value))),
     "PERCENTRANK.INC": lambda value, digits=3: F.floor(F.percent_rank().over(Window.orderBy(value)) * 10**digits + 1e-9) / 10**digits,
     "AVEDEV": lambda df, value: df.join(F.broadcast(df.agg(F.avg(value).alias("__m")))).agg(F.avg(F.abs(F.col(value) - F.col("__m"))).alias("value")),
-    "TREND": lambda x, slope, intercept: intercept + slope * x, "GROWTH": lambda x, base, rate: base * F.pow(rate, x),
     "OFFSET": lambda value, order, rows: F.lag(value, -rows).over(Window.orderBy(order)),
 }.items():
     FUNCTIONS[name] = _Plain(name, "table", 1, 255, build)

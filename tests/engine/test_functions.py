@@ -83,3 +83,13 @@ def test_xirr(spark):
     rows = [([-10000.0, 2750.0, 4250.0, 3250.0, 2750.0], [dt.date(2008, 1, 1), dt.date(2008, 3, 1), dt.date(2008, 10, 30), dt.date(2009, 2, 15), dt.date(2009, 4, 1)])]
     df = spark.createDataFrame(rows, "v array<double>, d array<date>")
     assert abs(df.select(function("XIRR")(F.col("v"), F.col("d")).alias("x")).first()[0] - 0.373362535) < 1e-6
+
+
+def test_what_is_not_done_is_not_registered(spark):
+    from tabulon.functions.registry import catalog, function
+
+    names = {r["name"] for r in catalog(spark).collect()}
+    for name in ("TREND", "GROWTH", "HLOOKUP"):
+        assert name not in names
+        with pytest.raises(KeyError):
+            function(name)
