@@ -1,13 +1,14 @@
 """Byte-level text kernels shared by the operators.
 
-All of them work on the UTF-8 bytes of an Arrow string column with numpy, a few megabytes at a time,
-so memory doesn't depend on the number of rows of a batch or on the length of one text.
-A null text counts as empty.
+All of them work on the UTF-8 bytes of an Arrow string column with numpy, a slice of some hundred kilobytes at a time,
+so memory doesn't depend on the number of rows of a batch. A text longer than a slice is a slice of its own: a task
+needs some dozen times the bytes of its longest text. A null text counts as empty.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,9 @@ import pyarrow.compute as pc
 pa.set_memory_pool(pa.system_memory_pool())
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
-SLICE = 1 << 18
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+SLICE, LONG_SPAN = 1 << 18, 256
+#: The first k bytes of a little-endian word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -83,15 +83,6 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        with np.errstate(over="ignore"):
-            table = np.full(max(n, SLICE + 1), base)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers[name][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     h = h.copy()
@@ -104,13 +95,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_LENGTHS = mix(np.arange(1, LONG_SPAN + 3, dtype=np.uint64) << np.uint64(20))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the spans, mixed with their lengths."""
+    """64-bit hashes of the spans: eight bytes at a time are mixed into a state that begins with the length.
+
+    The chain isn't linear in the bytes, so texts of a regular build (as repeated or self-similar ones) collide no more
+    often than others. Spans over LONG_SPAN bytes are digested by BLAKE2b.
+    """
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    h = _LENGTHS[np.minimum(size, LONG_SPAN + 1)]
+    h ^= words[starts] & _MASKS[np.minimum(size, 8)]
+    h = _stir(h)
+    active = np.flatnonzero(size > 8)
+    at, left = starts[active] + 8, size[active] - 8
+    if len(active):
+        short = size[active] <= LONG_SPAN
+        active, at, left = active[short], at[short], left[short]
+    while len(active):
+        h[active] = _stir(h[active] ^ (words[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        active, at, left = active[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN):
+        h[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), np.uint64)[0]
+    return h
+
+
+def _stir(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(data)), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _power("down", _INVERSE, len(data) + 1)[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def word_slices(column: pa.Array, table: np.ndarray, lower: bool = True, limit: int = SLICE):
