@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,13 +119,14 @@ def _most(n: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> np.ndar
 
 
 def _sketches(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """doc_id, n_shingles, set_id (16 bytes, null for no set), prefix (packed tokens), bitmap."""
+    """row (a key of its own), doc_id, n_shingles, set_id (16 bytes, null for no set), prefix (packed tokens), bitmap, text."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
         maybe = np.zeros(1 << 22, bool)
         maybe[(tokens & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(0)
             for first, sets in set_slices(batch.column(1), n):
@@ -148,9 +150,11 @@ def _sketches(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                     out[1].append(_set_id(s))
                     out[2].append(prefix[:keep].tobytes())
                     out[3].append(_bitmap(s))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(out[0], pa.int64()), *(pa.array(o, pa.binary()) for o in out[1:])], ["doc_id", "n_shingles", "set_id", "prefix", "bitmap"])
+                rows = pa.array(np.arange(row, row + len(sets)))
+                row += len(sets)
+                yield pa.RecordBatch.from_arrays([rows, ids.slice(first, len(sets)), pa.array(out[0], pa.int64()), *(pa.array(o, pa.binary()) for o in out[1:]), batch.column(1).slice(first, len(sets))], ["row", "doc_id", "n_shingles", "set_id", "prefix", "bitmap", "text"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_id binary, prefix binary, bitmap binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "row long, doc_id long, n_shingles long, set_id binary, prefix binary, bitmap binary, text string")
 
 
 class Tree:
@@ -279,7 +283,8 @@ def _runs(keys: str, work, out: pa.Schema):
     return run
 
 
-_EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGES = "a long, b long"
 
 
 _SHARED = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -366,35 +371,33 @@ def _pair_edges(percent: int):
     return work
 
 
+def _distinct(run: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A run with one row of each owner, and the owners."""
+    owners, first = np.unique(run.column("owner").to_numpy(), return_index=True)
+    return run.take(pa.array(first)), owners
+
+
 def _bucket_edges(percent: int):
-    def work(run: pa.Table) -> list[tuple[bytes, bytes]]:
-        ids = run.column("set_id").to_pylist()
-        first = {s: i for i, s in reversed([*enumerate(ids)])}
-        keep = sorted(first.values())
-        if len(keep) < 2:
+    def work(run: pa.Table) -> list[tuple[int, int]]:
+        run, ids = _distinct(run)
+        if len(ids) < 2:
             return []
-        run = run.take(keep)
-        ids = [ids[i] for i in keep]
-        return [(ids[a], ids[b]) for a, b in connect_all(run.column("n").to_numpy(), run.column("bitmap").to_pylist(), percent)]
+        return [(int(ids[a]), int(ids[b])) for a, b in connect_all(run.column("n").to_numpy(), run.column("bitmap").to_pylist(), percent)]
 
     return work
 
 
 def _chunk_edges(percent: int):
-    def work(run: pa.Table) -> list[tuple[bytes, bytes]]:
-        ids = run.column("set_id").to_pylist()
-        first = {s: i for i, s in reversed([*enumerate(ids)])}
-        keep = sorted(first.values())
-        if len(keep) < 2:
+    def work(run: pa.Table) -> list[tuple[int, int]]:
+        run, ids = _distinct(run)
+        if len(ids) < 2:
             return []
-        run = run.take(keep)
-        ids = [ids[i] for i in keep]
         sets = [np.frombuffer(x, np.uint64) for x in run.column("tokens").to_pylist()]
         group = left = None
         if "group" in run.column_names:
-            group, left = np.array(run.column("group").to_pylist(), object).astype(str), run.column("left").to_numpy()
+            group, left = run.column("group").to_numpy(), run.column("left").to_numpy()
         edges = connect_all(np.array([len(s) for s in sets]), [_bitmap(s) for s in sets], percent, sets, group, left)
-        return [(ids[a], ids[b]) for a, b in edges]
+        return [(int(ids[a]), int(ids[b])) for a, b in edges]
 
     return work
 
@@ -409,13 +412,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     without doc_id counts for the links of others and has component_id null if no row it reaches has an id.
     Other columns of docs take no part. Empty input gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small_batches(docs.sparkSession)
     sketches = written(_sketches(docs, n, percent, _frequent(docs, n)), "jaccard-sketches")
-    owner = F.coalesce("doc_id", F.lit(2**63 - 1))
-    classes = sketches.where("set_id is not null").groupBy("set_id").agg(F.min(owner).alias("owner"))
-    picked = sketches.withColumn("owner", owner).join(classes, ["set_id", "owner"])
+    # a class is known by the least row that has its set, whatever ids the rows have
+    classes = sketches.where("set_id is not null").groupBy("set_id").agg(F.min("row").alias("owner"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes, "jaccard-classes")
+    small = written(sketches.select(F.col("row").alias("owner"), F.col("n_shingles").alias("n"), "prefix", "bitmap").join(classes.select("owner"), "owner"), "jaccard-prefixes")
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefixes = batch.column(1).to_pylist()
@@ -425,62 +429,56 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
                 at = np.repeat(np.arange(len(part)), [len(p) // 8 for p in part])
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column(0).slice(a, len(part)).take(pa.array(at))], ["token", "owner"])
 
-    tokens = picked.select("owner", "prefix").mapInArrow(unpack, "token long, owner long")
+    tokens = small.select("owner", "prefix").mapInArrow(unpack, "token long, owner long")
     shared = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_tokens, "token long, a long, b long")
     shared = written(shared, "jaccard-tokens")
-    small = picked.select("owner", "set_id", F.col("n_shingles").alias("n"), "bitmap").dropDuplicates(["set_id"])
-    one, two = (small.select(F.col("owner").alias(k), F.col("set_id").alias(i), F.col("n").alias(c), F.col("bitmap").alias(x)) for k, i, c, x in (("a", "sa", "n", "x"), ("b", "sb", "m", "y")))
-    pairs = shared.where("token is null").select("a", "b").distinct().join(one, "a").join(two, "b").where(F.col("sa") != F.col("sb"))
-    pairs = pairs.select(F.col("sa").alias("a"), F.col("sb").alias("b"), "n", "m", "x", "y").mapInArrow(_pair_edges(percent), "a binary, b binary")
-    members = shared.where("token is not null").select("token", F.col("a").alias("owner")).join(small, "owner").select("token", "set_id", "n", "bitmap")
-    maybe = pairs.unionByName(members.repartition("token").sortWithinPartitions("token").mapInArrow(_runs("token", _bucket_edges(percent), _EDGE), "a binary, b binary"))
-    blocks = written(components(maybe, "jaccard-blocks").select(F.col("node").alias("set_id"), F.col("component").alias("block")), "jaccard-blocks")
+    small = small.drop("prefix")
+    pairs = shared.where("token is null").select("a", "b").distinct().join(small.select(F.col("owner").alias("a"), "n", F.col("bitmap").alias("x")), "a").join(small.select(F.col("owner").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y")), "b")
+    pairs = pairs.mapInArrow(_pair_edges(percent), _EDGES)
+    members = shared.where("token is not null").select("token", F.col("a").alias("owner"))
+    # a bucket beyond a chunk becomes part of one block as it is; its block's chunks go through their trees below
+    large = bounded_broadcast(members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("owner").alias("head")).where(F.col("c") > CHUNK).select("token", "head"), 24)
+    joined = members.join(large, "token").select(F.col("owner").alias("a"), F.col("head").alias("b"))
+    buckets = members.join(large, "token", "left_anti").join(small, "owner").select("token", "owner", "n", "bitmap")
+    maybe = pairs.unionByName(buckets.repartition("token").sortWithinPartitions("token").mapInArrow(_runs("token", _bucket_edges(percent), _EDGE), _EDGES)).unionByName(joined)
+    blocks = written(components(maybe, "jaccard-blocks").select(F.col("node").alias("owner"), F.col("component").alias("block")), "jaccard-blocks")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for first, sets in set_slices(batch.column(1), n):
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "tokens"])
-
-    sized = blocks.join(blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "block")
-    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
-    # set_id is a function of the text, so any row of a class has its set: the owner's, or one of them where ids repeat
-    wanted = sized.join(small.select("set_id", "owner"), "set_id").select(F.col("owner").alias("doc_id"), "set_id")
-    texts = docs.withColumn("doc_id", owner).join(bounded_broadcast(wanted, 48), "doc_id").select("set_id", "text")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in exact(batches):
-            ids, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [i for i, (k, s) in enumerate(zip(ids, sets, strict=True)) if s and _set_id(np.frombuffer(s, np.uint64)) == k]
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    sets = written(texts.mapInArrow(own, "set_id binary, tokens binary"), "jaccard-sets").dropDuplicates(["set_id"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["owner", "tokens"])
+
+    wide = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).where("chunks > 1")
+    several_blocks = not wide.isEmpty()
+    sized = blocks.join(bounded_broadcast(wide, 24), "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("owner"), F.col("chunks")))
+    texts = sketches.select(F.col("row").alias("owner"), "text").join(bounded_broadcast(blocks.select("owner"), 24), "owner")
+    sets = written(texts.mapInArrow(exact, "owner long, tokens binary"), "jaccard-sets")
     # every chunk of a block with the block's first class in it
-    first = sized.where("set_id = block").select("set_id", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
-    rows = sized.select("set_id", "block", "chunk").unionByName(first).join(sets, "set_id")
+    first = sized.where("owner = block and chunks > 1").select("owner", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+    rows = sized.select("owner", "block", "chunk").unionByName(first).join(sets, "owner")
     key = F.xxhash64("block", "chunk").alias("key")
-    edges = rows.select(key, "set_id", "tokens").repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(percent), _EDGE), "a binary, b binary")
-    edges = written(edges, "jaccard-edges")
-    # blocks of several chunks: what isn't in a block's largest group meets every chunk
-    if not sized.where("chunks > 1").isEmpty():
-        found = components(edges, "jaccard-groups")
-        several = written(sized.where("chunks > 1").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("group", F.coalesce("component", "set_id")), "jaccard-several")
+    edges = rows.select(key, "owner", "tokens").repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(percent), _EDGE), _EDGES)
+    found = components(edges, "jaccard-groups")
+    if several_blocks:  # what isn't in a block's largest group meets every chunk
+        several = sized.where("chunks > 1").join(found.withColumnRenamed("node", "owner"), "owner", "left").withColumn("group", F.coalesce("component", "owner"))
+        several = written(several, "jaccard-several")
         sizes = several.groupBy("block", "group").agg(F.count(F.lit(1)).alias("c"))
         main = sizes.groupBy("block").agg(F.max_by("group", F.struct("c", "group")).alias("main"))
-        several = several.join(main, "block").withColumn("left", F.col("group") != F.col("main"))
-        rest = several.where("left").withColumn("parts", F.lit(1))
-        counts = rest.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-        part = several.join(counts, "block")
-        slots = part.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("set_id", "block", "group", "part", "chunk", F.lit(False).alias("left"))
-        lefts = part.where("left").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select("set_id", "block", "group", "part", "chunk", "left")
-        both = lefts.unionByName(slots).groupBy("set_id", "block", "group", "part", "chunk").agg(F.max("left").alias("left"))
-        both = both.join(sets, "set_id").select(F.xxhash64("block", "part", "chunk").alias("key"), "set_id", "tokens", F.hex("group").alias("group"), "left")
-        more = both.repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(percent), _EDGE), "a binary, b binary")
-        edges = written(edges.unionByName(more), "jaccard-edges")
-    found = components(edges, "jaccard-components").withColumnRenamed("node", "set_id")
-    top = classes.join(found, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = top.groupBy("component").agg(F.min("owner").alias("least"))
-    final = top.join(least, "component").select("set_id", F.when(F.col("least") < 2**63 - 1, F.col("least")).alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
+        several = several.join(bounded_broadcast(main, 24), "block").withColumn("left", F.col("group") != F.col("main"))
+        counts = several.where("left").groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+        part = several.join(bounded_broadcast(counts, 24), "block")
+        slots = part.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("owner", "block", "group", "part", "chunk", F.lit(False).alias("left"))
+        lefts = part.where("left").withColumn("part", F.pmod(F.xxhash64("owner", F.lit(7)), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select("owner", "block", "group", "part", "chunk", "left")
+        both = lefts.unionByName(slots).groupBy("owner", "block", "group", "part", "chunk").agg(F.max("left").alias("left"))
+        both = both.join(sets, "owner").select(F.xxhash64("block", "part", "chunk").alias("key"), "owner", "tokens", "group", "left")
+        more = both.repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(percent), _EDGE), _EDGES)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard-components")
+    top = classes.join(found.withColumnRenamed("node", "owner"), "owner", "left").withColumn("component", F.coalesce("component", "owner")).where("copies > 1 or component <> owner or least is null")
+    top = written(top.unionByName(classes.join(found.select(F.col("component").alias("owner")).distinct(), "owner").withColumn("component", F.col("owner"))).dropDuplicates(["owner"]).select("set_id", "least", "component"), "jaccard-result")
+    least = top.groupBy("component").agg(F.min("least").alias("component_id"))
+    final = top.join(bounded_broadcast(least, 24), "component").select("set_id", "component_id", F.lit(True).alias("linked"))
+    out = sketches.select("doc_id", "n_shingles", "set_id").join(bounded_broadcast(final, 64), "set_id", "left")
+    # a row whose set no other row has or is linked with stands for itself
+    return out.select("doc_id", "n_shingles", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
@@ -40,9 +44,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The DataFrame, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    return _stored(df, name)[0]
+
+
+def _stored(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, str, dict]:
+    """The written DataFrame, its path, and sums over its rows, taken by the job that writes."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    out = df.observe(seen, *[F.sum(c).alias(n) for n, c in counts.items()]) if counts else df
+    out.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path, {n: v or 0 for n, v in seen.get.items()} if counts else {}
+
+
+def _delete(session: SparkSession, path: str) -> None:
+    p = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_written(spark: SparkSession | None = None) -> None:
@@ -51,9 +67,7 @@ def drop_written(spark: SparkSession | None = None) -> None:
         if spark is None or session is spark:
             _made.remove((session, path))
             try:
-                jvm = session.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(session, path)
             except Exception:  # noqa: BLE001  the session is gone; nothing else to do
                 return
 
@@ -66,28 +80,85 @@ def bounded_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> D
     return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
 
 
-def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): node and component, the least node reachable, of every node of an edge.
-
-    Rounds of large-star and small-star: each node's neighbours are hung below its least one, until nothing changes.
-    Every round is written to the shared folder, and a node's edges are only ever aggregated, never gathered.
+def contract(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Edges as stars: every node that isn't the least of its connected nodes, and that least node."""
+    both = pa.concat_arrays([a, b]).dictionary_encode()
+    order = pc.sort_indices(both.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at = rank[both.indices.to_numpy()]
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(order))
+    while len(x):
+        x, y = least[x], least[y]
+        open_ = x != y
+        x, y = x[open_], y[open_]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(further := least[least], least):
+            least = further
+    moved = np.flatnonzero(least != np.arange(len(least)))
+    return both.dictionary.take(pa.array(order[moved])), both.dictionary.take(pa.array(order[least[moved]]))
+
+
+def _stars(edges: DataFrame, whole: bool) -> DataFrame:
+    """a, b and foreign of each task's edges as stars. whole: a task's edges at once, else in runs, to shorten what is shuffled.
+
+    foreign: a is no larger end of the task's own edges, so the edge is news for the task that has a's edges.
     """
-
-    def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        new = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
-        mark = lambda x: x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        same, e = mark(e) == mark(new), new
-        if same:
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def give():
+            table = pa.Table.from_batches(held).combine_chunks()
+            own = table.column("a").combine_chunks()
+            a, b = contract(own, table.column("b").combine_chunks())
+            foreign = pc.cast(pc.invert(pc.is_in(a, own)), pa.int64())
+            for k in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([a.slice(k, 1 << 16), b.slice(k, 1 << 16), foreign.slice(k, 1 << 16)], ["a", "b", "foreign"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size > 1 << 20 and not whole:
+                yield from give()
+                held, size = [], 0
+        if held:
+            yield from give()
+
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}, foreign long")
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """Connected components of edges (a, b): node and component, the least node reachable, of every node of an edge but loops.
+
+    Each round deals the edges by their larger end and makes every task's edges stars, so a node keeps one edge and what
+    its neighbours have in common goes to them; when that brings nothing new, nodes are hung to their parents' parents,
+    until all hang on roots. Tasks hold a share of the edges, however large a component is: edges go by their larger
+    end, of which a task that made stars has left one. Rounds grow with the logarithm of a component's length. The job
+    that writes a round also counts its changes; the round before is deleted.
+    """
+    spark = edges.sparkSession
+    e, path, seen = _stored(_stars(edges.where("a <> b"), False), name, n=F.lit(1))
+    fresh = 0
+    while seen["n"]:
+        new, new_at, seen = _stored(_stars(e.repartition("a"), True), name, n=F.lit(1), foreign=F.col("foreign"))
+        _delete(spark, path)
+        e, path, fresh = new, new_at, fresh + 1
+        if seen["foreign"] and fresh < 3:
+            continue
+        fresh, foreign = 0, seen["foreign"]
+        up = e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("c"))
+        if seen["n"] * 64 <= 32 << 20:  # a bound of the rows, as they were counted
+            up = F.broadcast(up)
+        jump = e.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().cast("long").alias("moved"))
+        new, new_at, seen = _stored(jump, name, n=F.lit(1), moved=F.col("moved"))
+        _delete(spark, path)
+        e, path = new, new_at
+        if not foreign and not seen["moved"]:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     star = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return star.unionByName(star.select(F.col("component").alias("node"), "component").distinct())
