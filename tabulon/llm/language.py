@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from tabulon.llm import textbytes as tb
 from tabulon.llm.tables import small_batches
 
-#: The fit's bounds: texts of the sample over all languages (16 MB of features), languages, hashed features, centroids per language.
-SAMPLE, LANGUAGES, DIMS, CENTROIDS = 4000, 1000, 2048, 4
-#: A text is rejected below the cosine that all but this share of its language's stretches of about its length reach; least stretches of a length.
-REJECT, STRETCHES = 0.02, 20
+#: The fit's bounds: texts of the sample over all languages (40 MB of features; two for a language at least), hashed features, centroids per language.
+SAMPLE, DIMS, CENTROIDS = 5000, 2048, 4
+#: One drawn text of so many is held out of the centroids, for the limits of rejection; a language needs so many of them.
+HELD, LEAST_HELD = 5, 30
+#: A text is rejected below the cosine that all but this share of its language's stretches of about its length reach, and below this share of their median; least stretches of a length.
+REJECT, STRETCHES, NEAR = 0.02, 30, 0.75
 #: Clusters with a smaller share of their language's sample are dropped.
 LEAST_SHARE = 0.03
 _LETTER = tb.byte_class([(65, 90), (97, 122), (128, 255)])
@@ -97,7 +99,8 @@ class Model:
         for n in np.unique(lang):
             own, c = order[lang == n], cosine[lang == n]
             at = [k for k in np.unique(own) if (own == k).sum() >= STRETCHES]
-            self.least[n] = (np.array(at, float), np.array([np.quantile(c[own == k], reject) for k in at])) if at else (np.zeros(1), np.quantile(c, [reject]))
+            limit = lambda x: min(np.quantile(x, reject), NEAR * np.median(x))
+            self.least[n] = (np.array(at, float), np.array([limit(c[own == k]) for k in at])) if at else (np.zeros(1), np.array([limit(c)]))
 
     def predict(self, x: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, cosine with its nearest centroid (0 to 1), and whether it is too far for its length to be trusted."""
@@ -112,45 +115,51 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> Model:
-    """Fit on about sample / number-of-languages texts of each language of docs (doc_id, text, lang), chosen by a hash of doc_id.
+    """Fit on about sample / number-of-languages texts of each language of docs (doc_id, text, lang), at least about two.
 
-    Rows with null text or lang take no part. The most frequent LANGUAGES languages are learned.
+    Rows are drawn by a hash of doc_id and text, equal rows count once. Rows with null text or lang take no part. The
+    limits of rejection come from texts held out of the centroids, for languages with few texts from all of them.
     """
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     small_batches(docs.sparkSession)
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = docs.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not counts:
         return Model(np.zeros((0, DIMS), np.float32), [])
     share = max(2, sample // len(counts))
-    wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))])[F.col("lang")]
-    chance = (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("language")) / F.lit(2.0**64)) + 0.5
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counts], "lang string, wanted double"))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"), F.lit("language"))
+    drawn = docs.withColumn("key", key).join(wanted, "lang").where(F.col("key") / F.lit(2.0**64) + 0.5 < F.col("wanted")).select("key", "lang", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, x, letters in features(batch.column("text")):
-                keep = letters > 0
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(first, len(x)).filter(pa.array(keep)), pa.array([r.tobytes() for r in x[keep]], pa.binary())], ["lang", "x"])
+                keep = pa.array(letters > 0)
+                part = batch.slice(first, len(x))
+                yield pa.RecordBatch.from_arrays([part.column("key").filter(keep), part.column("lang").filter(keep), pa.array([r.tobytes() for r in x[letters > 0]], pa.binary())], ["key", "lang", "x"])
 
-    drawn = docs.where(chance < wanted).select("text", "lang")
-    table = drawn.mapInArrow(rows, "lang string, x binary").orderBy("lang", "x").limit(2 * sample).toArrow()
+    table = drawn.mapInArrow(rows, "key long, lang string, x binary").groupBy("lang", "key").agg(F.first("x").alias("x")).orderBy("lang", "key").toArrow()
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, DIMS)
-    model = Model(x, table.column("lang").to_pylist())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    langs, out = np.array(table.column("lang").to_pylist(), object), table.column("key").to_numpy() % HELD == 0
+    names, at = np.unique(langs.astype(str), return_inverse=True) if len(langs) else (langs, np.zeros(0, int))
+    enough = np.bincount(at[out], minlength=len(names)) >= LEAST_HELD
+    model = Model(x[~(out & enough[at])], langs[~(out & enough[at])].tolist())
+    shared = spark.sparkContext.broadcast((model, {lang for lang, e in zip(names, enough, strict=True) if e}))
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, held = shared.value
         index = {lang: n for n, lang in enumerate(m.languages)}
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if lang not in index:
+            for key, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if lang not in index or (lang in held and key % HELD):
                     continue
                 for _, x, letters in features(pa.array(stretches(text), pa.string())):
                     if (letters > 0).any():
                         best = (unit(x[letters > 0] * m.idf) @ m.centres[m.owner == index[lang]].T).max(1)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), index[lang])), pa.array(letters[letters > 0]), pa.array(best.astype(float))], ["lang", "letters", "cosine"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), key)), pa.array(np.full(len(best), index[lang])), pa.array(letters[letters > 0]), pa.array(best.astype(float))], ["key", "lang", "letters", "cosine"])
 
     if len(x):
-        found = drawn.mapInArrow(cosines, "lang long, letters long, cosine double").toArrow()
+        found = drawn.mapInArrow(cosines, "key long, lang long, letters long, cosine double").distinct().select("lang", "letters", "cosine").toArrow()
         model.calibrate(*(found.column(i).to_numpy() for i in range(3)), reject)
     return model
 

@@ -1,11 +1,13 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-A paragraph (a line of a text) is a sparse set of word n-grams. A multinomial logistic regression, trained here on
+A paragraph is a line of a text with the lines that go on with it: a line goes on if the next begins with a small letter
+or a digit, or it ends with a comma, as wrapped notices do. It is a sparse set of word n-grams. A multinomial logistic regression, trained here on
 notices built from the licence names and sentences below and on paragraphs of the corpus as the unknown class, gives
-each licence family's probability. The unknown class is calibrated: a family is only predicted if its probability is above what
-all but a thousandth of the corpus's distinct unknown paragraphs held out of the training reach. A prediction is confirmed by comparison with the
-families' templates: a name stands in the paragraph, or the paragraph holds half of the word pairs of a sentence. Paragraphs that a template
-confirms are no unknown ones, neither in the training nor in the calibration.
+each licence family's probability. Predictions above one half are compared with the families' templates: a name stands in
+the paragraph, or the paragraph holds half of the word pairs of a sentence. The unknown class is calibrated: what no
+template confirms is only reported if its probability is above what all but a thousandth of the corpus's distinct
+unknown paragraphs held out of the training reach. Paragraphs that a template confirms are no unknown ones, neither in
+the training nor in the calibration.
 """
 
 from __future__ import annotations
@@ -72,6 +74,23 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
 _LINE = tb.byte_class([(10, 10)], inside=False)
 
 
+#: Bytes that begin a line which goes on with the one before.
+_GOES_ON = tb.byte_class([(48, 57), (97, 122)])
+#: The same as a pattern that splits texts.
+_HARD = r"(?<!,)\n(?![a-z0-9])"
+
+
+def _soft(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of line ends inside a paragraph."""
+    at = np.flatnonzero(data == 10)
+    inner = (at + 1 < len(data)) & (at > 0)
+    at = at[inner]
+    text = np.searchsorted(offsets, at, "right")
+    after = _GOES_ON[data[at + 1]] & (np.searchsorted(offsets, at + 1, "right") == text)
+    before = (data[at - 1] == 44) & (np.searchsorted(offsets, at - 1, "right") == text)
+    return at[after | before]
+
+
 class Model:
     """n-grams of the notices with a row of weights each; class 0 is unknown."""
 
@@ -119,7 +138,7 @@ class Model:
         if len(steps):
             below = np.cumsum([counts[k] for k in steps])
             at = steps[np.searchsorted(below, 0.999 * below[-1])]
-            self.least = float(max(0.5, min(0.95, (at + 1) / STEPS)))
+            self.least = float(max(0.5, (at + 1) / STEPS))
 
     def features(self, words: np.ndarray) -> np.ndarray:
         own = np.unique(np.concatenate([_grams(words, n) for n in range(1, GRAM + 1)]))
@@ -143,6 +162,7 @@ class Model:
         data, offsets = tb.buffers(column)
         for first, last in tb.slices(offsets):
             part, own = tb.LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
+            part[_soft(data[offsets[first] : offsets[last]], own)] = 32
             starts, ends, at = tb.spans(part, own, _LINE)
             ws, we, _ = tb.spans(part, own, tb.ALNUM)
             words = tb.hashes(part, ws, we)
@@ -172,7 +192,7 @@ def line_hashes(lines: list[str]) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model, with about sample distinct paragraphs of docs (text), at most about half of them, as the unknown class, calibrated on all others."""
     small_batches(docs.sparkSession)
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0").withColumn("h", F.xxhash64("line"))
+    lines = docs.select(F.explode(F.split("text", _HARD)).alias("line")).select(F.translate("line", "\n", " ").alias("line")).where("length(line) > 0").withColumn("h", F.xxhash64("line"))
     n = lines.agg(F.approx_count_distinct("h")).first()[0]
     chosen = lines.where(F.pmod("h", F.lit(max(2, n // sample))) == 0).select("line", "h").distinct().orderBy("h", "line").limit(sample)
     model = Model([r["line"] for r in chosen.collect()])
@@ -200,7 +220,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """docs with n_paragraphs, families and notices, which replace columns of these names.
 
-    n_paragraphs: lines that aren't empty. notices: for every paragraph with a predicted family, in order, its number
+    n_paragraphs: paragraphs that aren't empty. notices: for every paragraph with a predicted family, in order, its number
     (from 1), every family that a template confirms, or else the likeliest one, with its probability and whether it is confirmed. families: the distinct confirmed families, sorted.
     Null and empty texts have none. Whole texts are scanned, whatever their length; repeated rows give the same result.
     """
@@ -216,11 +236,13 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for first, last, _, _, _, at, words, paragraph, hit, z in m.paragraphs(batch.column(at_text)):
                 notices: list[list[dict]] = [[] for _ in range(last - first)]
-                for i in np.flatnonzero(1 - z[:, 0] > m.least):
+                for i in np.flatnonzero(1 - z[:, 0] > 0.5):
                     k = int(hit[i])
                     text = int(np.searchsorted(at, k, "right") - 1)
                     a, b = np.searchsorted(paragraph, [k, k + 1])
                     sure = m.confirmations(words[a:b])
+                    if not sure and 1 - z[i, 0] <= m.least:
+                        continue
                     notices[text] += [{"paragraph": k - int(at[text]) + 1, "family": m.families[f], "probability": float(z[i, 1 + f]), "confirmed": bool(sure)} for f in sure or [int(z[i, 1:].argmax())]]
                 families = [sorted({x["family"] for x in n if x["confirmed"]}) for n in notices]
                 new = [pa.array(np.diff(at).astype(np.int64)), pa.array(families, pa.list_(pa.string())), pa.array(notices, kind)]

@@ -85,19 +85,26 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most sample labelled texts (doc_id, text) and (doc_id, label 0 or 1), chosen by a hash of doc_id."""
-    labels = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    """Fit on at most sample labelled texts of (doc_id, text) and (doc_id, label 0 or 1): those of the least hashes.
+
+    The hash is of doc_id, text and label together, so texts that share an id are drawn apart, and equal rows count once.
+    Rows without doc_id have no label; null labels are left out.
+    """
+    labels = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).distinct()
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small_batches(docs.sparkSession)
-    chosen = labels.join(docs.select("doc_id"), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    key = F.xxhash64("doc_id", "hash", "label").alias("key")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("hash"))
+    chosen = hashed.join(labels, "doc_id").select("doc_id", "hash", "label", key).distinct().orderBy("key", "doc_id", "hash", "label").limit(sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, x in features(batch.column("text")):
                 part = batch.slice(first, len(x))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "label", "x"])
 
-    table = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(rows, "doc_id long, label int, x binary").orderBy("doc_id", "label", "x").limit(2 * sample).toArrow()
+    drawn = docs.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "hash"]).select("key", "label", "text")
+    table = drawn.mapInArrow(rows, "key long, label int, x binary").groupBy("key").agg(F.first("label").alias("label"), F.first("x").alias("x")).orderBy("key").toArrow()
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, DIMS)
     return Model(x, table.column("label").to_numpy())
 

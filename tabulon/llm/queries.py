@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def remainder(column: str, n: int) -> F.Column:
-    """crc32 of the column as text, modulo n."""
-    return F.crc32(F.col(column).cast("string")) % n
+    """crc32 of the column as text, modulo n; that of the empty text for null."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
 def piece_model() -> str:
