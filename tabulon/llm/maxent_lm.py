@@ -1,12 +1,17 @@
 """Language-model scores by a hashed maximum-entropy model.
 
-A word's probability is that of its class, given the words before it, times the word's own share of its class. Classes
-are hashed endings. The class softmax adds weights of hashed features: the word before, the two before together, and
-a skip feature, the second word before. Its weights are trained by gradient updates that run over all training texts: every task takes
-minibatch steps on its own texts from the shared start, and the results are averaged, weighted by tokens.
-
-Word counts are exact, over all training texts. Frequent words (a bounded table) are counted by a broadcast, the rest
-of a text's words by a join on their hashes, so no join key is frequent.
+A word's probability is that of its class, given the words before it, times the word's share of its class; that product
+is the prior of the word after the two before it, to which the counts of the three together are added. Classes are
+hashed endings. The class softmax adds weights of hashed features: the word before, the two before together, and a skip
+feature, the second word before. Its weights are trained by gradient updates: in every round each task takes minibatch
+steps on its own texts from the shared start, and the results are averaged, weighted by the gradient a row has seen.
+The first round runs over an eighth of the texts, to give a start, the second over all.
+
+Counts of words, contexts and three-grams are over all training texts and grow with them. Texts are dealt to blobs of
+some megabytes; a blob sends each distinct key once, with its count, to one of the parts of the key space (more parts
+for more tokens), as packed arrays; a part adds up and sends every blob the totals of its keys. So a frequent key is
+one number a blob, and no table is broadcast but the bounded one of the softmax. Words are told apart by 64 bits, the
+others by 32 bits within their part.
 """
 
 from __future__ import annotations
@@ -16,14 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
 from tabulon.llm.tables import small_batches, written
 
-#: Classes, rows of the weight table (2 MB of weights), tokens of a minibatch, step size, words of the broadcast count table (3 MB).
-CLASSES, ROWS, BATCH, RATE, HEAD = 32, 1 << 14, 8192, 0.25, 1 << 18
+#: Classes, rows of the weight table (2 MB of weights), tokens of a minibatch, step size.
+CLASSES, ROWS, BATCH, RATE = 32, 1 << 14, 8192, 0.25
+#: Weight of the prior in counts, bytes of text in a blob, keys in a part, shares of the texts that the rounds of training take.
+PRIOR, BLOB, PART, ROUNDS = 25.0, 2 << 20, 4 << 20, (8, 1)
 #: Rows of weights that are summed as one.
 _CHUNK = 256
 _END = tb.mix(np.array([0xE2D], np.uint64))[0]
@@ -41,17 +48,22 @@ def token_slices(column: pa.Array):
         yield first, last, np.insert(words, at[1:], _END), np.insert(classes, at[1:], 0), at + np.arange(len(at))
 
 
-def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for every token: three features, none across texts, and the bias in row 0."""
-    n = len(tokens)
+def _before(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The token before every token and the second one before it, none across texts."""
     before = []
     for k in (1, 2):
-        w = np.zeros(n, np.uint64)
+        w = np.zeros(len(tokens), np.uint64)
         w[k:] = tokens[:-k]
         for j in range(k):  # the first tokens of a text have no word there
             first = at[:-1] + j
             w[first[first < at[1:]]] = np.uint64(j + 1)
         before.append(w)
+    return before
+
+
+def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of the weight table for every token: three features, none across texts, and the bias in row 0."""
+    n, before = len(tokens), _before(tokens, at)
     with np.errstate(over="ignore"):
         keys = [before[0], before[0] * np.uint64(31) + before[1] * np.uint64(1_000_003), before[1]]
         rows = [(tb.mix(k + np.uint64(i << 56)) % np.uint64(ROWS - 1)).astype(np.int64) + 1 for i, k in enumerate(keys)]
@@ -84,61 +96,145 @@ def step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, classes: np
     weights[0] -= RATE * g / np.sqrt(squares[0] + 1e-6)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word (hash), class and c of every distinct token of all texts of docs (text)."""
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (train, row, text) as compressed bundles of about BLOB bytes of text or one row, with a number of its own."""
+    held: list[pa.RecordBatch] = []
+    size, number = 0, TaskContext.get().partitionId() << 32
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+    def bundle():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([tb.closed(table.to_batches()[0])], pa.binary())], ["blob", "payload"])
 
-        def merged():
-            w, k, c = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.argsort(w, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], w[order][1:] != w[order][:-1]]))
-            return w[order][first], k[order][first], np.add.reduceat(c[order], first)
+    for batch in batches:
+        offsets = tb.buffers(batch.column(2))[1]
+        for first, last in tb.slices(offsets):
+            held.append(batch.slice(first, last - first))
+            size += int(offsets[last] - offsets[first]) + 64 * (last - first)
+            if size > BLOB:
+                yield bundle()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield bundle()
 
-        for batch in batches:
-            for _, _, tokens, classes, _ in token_slices(batch.column(0)):
-                if not len(tokens):
-                    continue
-                w, one, c = np.unique(tokens, return_index=True, return_counts=True)
-                held.append((w, classes[one], c))
-                size += len(w)
-                if size > 3_000_000:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > 1_500_000:
-                        yield _rows(*held[0])
-                        held, size = [], 0
-        if held:
-            yield _rows(*merged())
-
-    def _rows(w, k, c):
-        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(c.astype(np.int64))], ["word", "class", "c"])
-
-    return docs.select("text").mapInArrow(run, "word long, class int, c long").groupBy("word").agg(F.first("class").alias("class"), F.sum("c").alias("c"))
-
-
-def train(docs: DataFrame, bias: np.ndarray) -> np.ndarray:
-    """The weight table after one pass over all texts, started with the bias."""
-    start = np.zeros((ROWS, CLASSES), np.float32)
-    start[0] = bias
-    shared = docs.sparkSession.sparkContext.broadcast(start)
+
+def _keys(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit keys of every token's context (the two words before it) and of the context with the token."""
+    one, two = _before(tokens, at)
+    with np.errstate(over="ignore"):
+        context = tb.mix(one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0xD1B54A32D192ED03))
+        return np.concatenate([context, tb.mix(context ^ (tokens * np.uint64(0x8CB92BA72F3D8DD7)))])
+
+
+def _split(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the parts begin in sorted keys; a part is a range of keys."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+
+
+class _Blob:
+    """A blob's texts as tokens, with the distinct words and keys and where they stand."""
+
+    def __init__(self, payload: pa.Scalar):
+        self.rows = tb.opened(payload)
+        train = self.rows.column(0).to_numpy(zero_copy_only=False)
+        found = list(token_slices(self.rows.column(2)))
+        self.slices = [(tokens, classes, at) for _, _, tokens, classes, at in found]
+        self.tokens = np.concatenate([f[2] for f in found])
+        self.length = np.concatenate([np.diff(f[4]) for f in found])
+        self.classes = np.concatenate([f[3] for f in found])
+        self.counted = np.repeat(train, self.length)
+        self.words, first, self.word_at = np.unique(self.tokens, return_index=True, return_inverse=True)
+        self.word_class = self.classes[first].astype(np.uint8)
+        self.keys, self.key_at = np.unique(np.concatenate([k.reshape(2, -1) for k in (_keys(t, at) for t, _, at in self.slices)], axis=1).ravel(), return_inverse=True)
+
+    def training(self, at: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(at, np.tile(self.counted, len(at) // max(1, len(self.counted))), n).astype(np.uint32)
+
+
+_PARTS = "part long, blob long, words binary, kinds binary, word_counts binary, keys binary, counts binary"
+
+
+def _sent(parts: int):
+    """Of blobs, for every part the distinct words and keys in it with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, squares, n = shared.value.copy(), np.zeros(ROWS, np.float32), 0
         for batch in batches:
-            for _, _, tokens, classes, at in token_slices(batch.column(0)):
-                rows = contexts(tokens, at)
-                for a in range(0, len(tokens), BATCH):
-                    step(weights, squares, rows[:, a : a + BATCH], classes[a : a + BATCH])
-                n += len(tokens)
-        if n:
-            # a row counts by how much gradient it has seen, so that rows a task never met don't dilute others
-            seen = np.sqrt(squares) + 1e-9
-            for k in range(0, ROWS, _CHUNK):
-                part = np.concatenate([weights[k : k + _CHUNK] * seen[k : k + _CHUNK, None], seen[k : k + _CHUNK, None]], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["k", "w"])
+            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                blob = _Blob(payload)
+                words, keys = blob.training(blob.word_at, len(blob.words)), blob.training(blob.key_at, len(blob.keys))
+                low = blob.keys.astype(np.uint32)
+                w, k = _split(blob.words, parts), _split(blob.keys, parts)
+                some = np.flatnonzero((np.diff(w) > 0) | (np.diff(k) > 0))
+                cut = lambda x, at: pa.array([x[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), number)), cut(blob.words, w), cut(blob.word_class, w), cut(words, w), cut(low, k), cut(keys, k)], [c.split()[0] for c in _PARTS.split(", ")])
+
+    return run
+
+
+_TOTALS = "blob long, part long, word_counts binary, counts binary, n array<long>, v array<long>"
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by part: for every blob the totals of what it sent, and for a part the training tokens and distinct words of every class."""
+    names = [c.split()[0] for c in _TOTALS.split(", ")]
+    held: list[tuple] = []
+    current = None
+
+    def added(values: list[bytes], counts: list[bytes], kind):
+        flat = np.frombuffer(b"".join(values), kind)
+        keys, first, at = np.unique(flat, return_index=True, return_inverse=True)
+        total = np.bincount(at, np.frombuffer(b"".join(counts), np.uint32), len(keys)).astype(np.int64)
+        cut = np.cumsum([0, *(len(v) // flat.itemsize for v in values)])
+        back = np.minimum(total, 2**32 - 1).astype(np.uint32)[at]
+        return first, total, [back[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def answer():
+        blobs, words, kinds, word_counts, keys, counts = zip(*held, strict=True)
+        first, total, own = added(words, word_counts, np.uint64)
+        kind = np.frombuffer(b"".join(kinds), np.uint8)[first]
+        _, _, back = added(keys, counts, np.uint32)
+        n = len(blobs)
+        yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.int64()), pa.array([current] * n, pa.int64()), pa.array(own, pa.binary()), pa.array(back, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names)
+        seen = [np.bincount(kind, x, CLASSES).astype(np.int64).tolist() for x in (total, total > 0)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([current], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in seen)], names)
+
+    for batch in batches:
+        for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != current and held:
+                yield from answer()
+                held = []
+            current = part
+            held.append(tuple(row))
+    if held:
+        yield from answer()
+
+
+def train(blobs: DataFrame, bias: np.ndarray, rounds: tuple[int, ...] = ROUNDS) -> np.ndarray:
+    """The weight table after rounds over shares of the blobs (1 of each so many), started with the bias."""
+    out = np.zeros((ROWS, CLASSES), np.float32)
+    out[0] = bias
+
+    def run(shared, share):
+        def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, squares, n = shared.value.copy(), np.zeros(ROWS, np.float32), 0
+            for batch in batches:
+                for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if number % share:
+                        continue
+                    rows = tb.opened(payload)
+                    for _, _, tokens, classes, at in token_slices(rows.column(2).filter(rows.column(0))):
+                        context = contexts(tokens, at)
+                        for a in range(0, len(tokens), BATCH):
+                            step(weights, squares, context[:, a : a + BATCH], classes[a : a + BATCH])
+                        n += len(tokens)
+            if n:
+                # a row counts by how much gradient it has seen, so that rows a task never met don't dilute others
+                seen = np.sqrt(squares)
+                for k in range(0, ROWS, _CHUNK):
+                    if seen[k : k + _CHUNK].any():
+                        part = np.concatenate([weights[k : k + _CHUNK] * seen[k : k + _CHUNK, None], seen[k : k + _CHUNK, None]], axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["k", "w"])
+
+        return steps
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -148,66 +244,78 @@ def train(docs: DataFrame, bias: np.ndarray) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["k", "w"])
 
-    out = start
-    for r in docs.select("text").mapInArrow(run, "k int, w binary").repartition("k").mapInArrow(total, "k int, w binary").collect():
-        part = np.frombuffer(r["w"], np.float64).reshape(-1, CLASSES + 1)
-        out[r["k"] : r["k"] + len(part)] = part[:, :-1] / part[:, -1:]
+    for share in rounds:
+        shared = blobs.sparkSession.sparkContext.broadcast(out)
+        new = out.copy()
+        for r in blobs.mapInArrow(run(shared, share), "k int, w binary").repartition("k").mapInArrow(total, "k int, w binary").collect():
+            part = np.frombuffer(r["w"], np.float64).reshape(-1, CLASSES + 1)
+            met = part[:, -1] > 0
+            new[r["k"] : r["k"] + len(part)][met] = part[met, :-1] / part[met, -1:]
+        out = new
     return out
 
 
-def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """docs with n_tokens, n_known, train_tokens, base_score and score, which replace columns of these names.
+def score_texts(docs: DataFrame, training: Column) -> DataFrame:
+    """docs without text, with n_tokens, n_known, train_tokens, base_score and score, which replace columns of these names.
 
-    base_score: sum over a text's tokens of log10((c + 1) / (N + V + 1)), with c the token's count in the training texts,
-    N all their tokens, V the distinct ones; n_known: tokens with c > 0. score: the model's log10 probability of the
-    text. Null and empty texts are one end token. Repeated rows are scored alike. Without training texts all counts are 0.
+    The model learns from the texts of the rows where training (a Column over docs) is true. base_score: sum over a
+    text's tokens of log10((c + 1) / (N + V + 1)), with c the token's count in the training texts, N all their tokens, V
+    the distinct ones; n_known: tokens with c > 0. score: the model's log10 probability of the text. Null and empty
+    texts are one end token. Repeated rows are scored alike. Without training texts all counts are 0.
     """
-    spark = docs.sparkSession
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    docs = docs.drop(*names)
+    kept = [c for c in docs.columns if c != "text" and c not in names]
     small_batches(docs.sparkSession)
-    vocabulary = written(count_words(training), "lm-words")
-    stats = {r["class"]: (r["n"], r["v"]) for r in vocabulary.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    n, v = sum(x for x, _ in stats.values()), sum(x for _, x in stats.values())
-    size = np.array([sum(stats.get(k, (0, 0))) + 1 for k in range(CLASSES)], float)
-    share = np.array([stats.get(k, (0, 0))[0] + 1.0 for k in range(CLASSES)])
-    weights = train(training, np.log(share / share.sum()))
-    head = vocabulary.orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c").toArrow()
-    order = np.argsort(head.column(0).to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((weights, head.column(0).to_numpy().view(np.uint64)[order], head.column(1).to_numpy()[order], np.log10(size)))
-    columns = docs.columns
-    at_text = columns.index("text")
-    schema = docs.select("*", *[F.lit(0).cast(t).alias(c) for c, t in (("__row", "long"), ("n_tokens", "long"), ("__known", "long"), ("__sum", "double"), ("__rest", "double"))], F.array(F.lit(0).cast("long")).alias("__tail")).schema
-    kept = [c for c in columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.coalesce(training, F.lit(False)).alias("train"), row.alias("row"), "text")
+    kind = rows.schema["row"].dataType.simpleString()
+    blobs = written(rows.mapInArrow(_blobs, "blob long, payload binary"), "lm-blobs")
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    parts = max(1, -(-int(size) // (2 * PART)))  # a word has some six bytes and two keys
+    totals = blobs.mapInArrow(_sent(parts), _PARTS).repartition("part").sortWithinPartitions("part").mapInArrow(_totals, _TOTALS)
+    totals = written(totals, "lm-counts")
+    by_class = totals.where("n is not null").select(F.posexplode(F.arrays_zip("n", "v")).alias("k", "x")).groupBy("k").agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v")).collect()
+    tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in by_class:
+        tokens[r["k"]], distinct[r["k"]] = r["n"], r["v"]
+    n, v = int(tokens.sum()), int(distinct.sum())
+    weights = train(blobs, np.log((tokens + 1) / (tokens + 1).sum()))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, np.log(tokens + distinct + 1)))
+
+    def scored(blob: _Blob, back: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        weights, log_size = shared.value
+        words = np.frombuffer(b"".join(x for x, _ in back), np.uint32)[blob.word_at].astype(float)
+        context, three = np.frombuffer(b"".join(x for _, x in back), np.uint32)[blob.key_at].reshape(2, -1).astype(float)
+        prior = np.empty(len(blob.tokens))
+        done = 0
+        for tokens, classes, at in blob.slices:
+            features = contexts(tokens, at)
+            for a in range(0, len(tokens), BATCH):
+                z = log_classes(weights, features[:, a : a + BATCH])
+                prior[done : done + len(z)] = z[np.arange(len(z)), classes[a : a + BATCH]]
+                done += len(z)
+        prior += np.log(words + 1) - log_size[blob.classes]
+        score = np.log10(three + PRIOR * np.exp(prior)) - np.log10(context + PRIOR)
+        begin = np.cumsum(blob.length) - blob.length
+        base = np.add.reduceat(np.log10(words + 1), begin) - blob.length * np.log10(n + v + 1)
+        new = [pa.array(blob.length.astype(np.int64)), pa.array(np.add.reduceat((words > 0).astype(np.int64), begin)), pa.array(np.full(len(begin), n)), pa.array(base), pa.array(np.add.reduceat(score, begin))]
+        return pa.RecordBatch.from_arrays([blob.rows.column(1), *new], ["row", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, words, counts, log_size = shared.value
-        logs = np.log10(counts + 1.0)
-        row = TaskContext.get().partitionId() << 40
+        blob, back, number = None, [], None
         for batch in batches:
-            for first, last, tokens, classes, at in token_slices(batch.column(at_text)):
-                rows = contexts(tokens, at)
-                rest = np.empty(len(tokens))
-                for a in range(0, len(tokens), BATCH):
-                    z = log_classes(weights, rows[:, a : a + BATCH])
-                    rest[a : a + BATCH] = z[np.arange(len(z)), classes[a : a + BATCH]]
-                rest = rest / np.log(10) - log_size[classes]
-                where = np.minimum(np.searchsorted(words, tokens), max(0, len(words) - 1))
-                found = words[where] == tokens if len(words) else np.zeros(len(tokens), bool)
-                value = np.where(found, logs[where], 0.0) if len(words) else np.zeros(len(tokens))
-                begin, m = at[:-1], last - first
-                cut = np.concatenate([[0], np.cumsum(~found)])[at]
-                tail = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(tokens[~found].view(np.int64)))
-                new = [pa.array(row + np.arange(m)), pa.array(np.diff(at).astype(np.int64)), pa.array(np.add.reduceat(found.astype(np.int64), begin)), pa.array(np.add.reduceat(value, begin)), pa.array(np.add.reduceat(rest, begin)), tail]
-                row += m
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, m) for i in range(len(columns)) if i != at_text), *new], names=[*kept, *schema.names[len(columns) :]])
-
-    store = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "text"))
-    store = written(store, "lm-texts")
-    rare = store.select("__row", F.explode("__tail").alias("word")).join(vocabulary.select("word", "c"), "word")
-    rare = rare.groupBy("__row").agg(F.count(F.lit(1)).alias("__k"), F.sum(F.log10(F.col("c") + 1.0)).alias("__s"))
-    both = store.drop("__tail").join(rare, "__row", "left")
-    total = F.col("__sum") + F.coalesce("__s", F.lit(0.0))
-    out = both.withColumn("n_known", F.col("__known") + F.coalesce("__k", F.lit(0))).withColumn("train_tokens", F.lit(n).cast("long"))
-    out = out.withColumn("base_score", total - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).withColumn("score", total + F.col("__rest"))
-    return out.select(*kept, *names)
+            for own, part, payload, word_counts, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if own != number and number is not None:
+                    yield scored(blob, back)
+                if part < 0:
+                    blob, back, number = _Blob(payload), [], own
+                else:
+                    back.append((word_counts, counts))
+        if number is not None:
+            yield scored(blob, back)
+
+    none = F.lit(None).cast("binary")
+    both = blobs.select("blob", F.lit(-1).cast("long").alias("part"), "payload", none.alias("word_counts"), none.alias("counts"))
+    both = both.unionByName(totals.where("n is null").select("blob", "part", none.alias("payload"), "word_counts", "counts"))
+    out = both.repartition("blob").sortWithinPartitions("blob", "part").mapInArrow(run, f"row {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *names)

@@ -61,7 +61,7 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
-    return maxent_lm.score_texts(docs, docs.where(~F.col("held_out")))
+    return maxent_lm.score_texts(docs, ~F.col("held_out"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

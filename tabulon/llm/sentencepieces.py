@@ -263,7 +263,7 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
             for block, kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if block != current:
                     current, held, fresh = block, [], True
-                part = _opened(payload)
+                part = tb.opened(payload)
                 if kind == 0:
                     held.append((part.column(0).to_numpy().view(np.uint64), part.column(1).flatten().to_numpy(), part.column(1).value_lengths().to_numpy()))
                     fresh = True
@@ -297,17 +297,6 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
 _BUNDLE = "__block long, __kind int, payload binary"
 
 
-def _closed(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _opened(payload: pa.Scalar) -> pa.RecordBatch:
-    return pa.ipc.open_stream(payload.as_buffer()).read_next_batch()
-
-
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a block in front as compressed bundles of a block, of about a megabyte or one row."""
     held: dict[int, list[pa.RecordBatch]] = {}
@@ -317,7 +306,7 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held.pop(block)).combine_chunks()
         size.pop(block)
         for b in table.to_batches():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([_closed(b)], pa.binary())], ["__block", "__kind", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([tb.closed(b)], pa.binary())], ["__block", "__kind", "payload"])
 
     for batch in batches:
         blocks = batch.column(0).to_numpy()
@@ -350,7 +339,7 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = unit[block == k]
             rows = rows[np.argsort(keys[rows])]
             part = pa.RecordBatch.from_arrays([pa.array(keys[rows].view(np.int64)), ids.take(pa.array(rows))], ["key", "ids"])
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([0], pa.int32()), pa.array([_closed(part)], pa.binary())], ["__block", "__kind", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([0], pa.int32()), pa.array([tb.closed(part)], pa.binary())], ["__block", "__kind", "payload"])
 
 
 def _library_ids(library, unit: str) -> list[int]:

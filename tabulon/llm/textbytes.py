@@ -145,3 +145,15 @@ def word_slices(column: pa.Array, table: np.ndarray, lower: bool = True, limit:
         own = offsets[first : last + 1] - offsets[first]
         starts, ends, at = spans(part, own, table)
         yield first, last, part, starts, ends, at, hashes(part, starts, ends)
+
+
+def closed(batch: pa.RecordBatch) -> bytes:
+    """A batch as a compressed stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(payload: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(payload.as_buffer()).read_next_batch()

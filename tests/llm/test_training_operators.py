@@ -222,19 +222,44 @@ def test_classifiers_on_odd_rows(spark, docs, empty):
     assert found.count() == docs.count() and language.identify(docs, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
-def test_language_model_counts(spark, docs, empty):
-    some = docs.where("doc_id is null or doc_id < 60").withColumn("row", F.monotonically_increasing_id()).cache()
-    training = some.where("doc_id % 3 <> 0")
+def test_language_model_counts(spark, docs, empty, monkeypatch):
+    """Counts and both scores equal plain Python's, in one blob and part and in many."""
+    some = docs.where("doc_id is null or doc_id < 60").withColumn("row", F.monotonically_increasing_id()).withColumn("blob", F.lit("kept")).withColumn("n_known", F.lit(-1)).cache()
+    chosen = F.col("doc_id") % 3 != 0
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None]
-    c = Counter(w for r in training.collect() for w in tokens(r["text"]))
+    rows, training = some.collect(), some.where(chosen).collect()
+    c = Counter(w for r in training for w in tokens(r["text"]))
+    pad = lambda t: [1, 2, *tokens(t)]
+    after = Counter(tuple(p[i - 2 : i]) for r in training for p in [pad(r["text"])] for i in range(2, len(p)))
+    three = Counter(tuple(p[i - 2 : i + 1]) for r in training for p in [pad(r["text"])] for i in range(2, len(p)))
     n, v = sum(c.values()), len(c)
-    texts = {r["row"]: tokens(r["text"]) for r in some.collect()}
-    for r in maxent_lm.score_texts(some, training).collect():
-        t = texts[r["row"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert math.isfinite(r["score"]) and r["score"] < 0
-    assert maxent_lm.score_texts(empty, empty).count() == 0
+    for blob, part in ((maxent_lm.BLOB, maxent_lm.PART), (20_000, 20_000)):
+        monkeypatch.setattr(maxent_lm, "BLOB", blob)
+        monkeypatch.setattr(maxent_lm, "PART", part)
+        got = maxent_lm.score_texts(some, chosen)
+        assert [c for c in got.columns if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")] == [c for c in some.columns if c not in ("text", "n_known", "score")]
+        found = {r["row"]: r for r in got.collect()}
+        assert len(found) == len(rows)
+        for r in rows:
+            t, p, g = tokens(r["text"]), pad(r["text"]), found[r["row"]]
+            assert g["blob"] == "kept" and (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(t), sum(c[w] > 0 for w in t), n)
+            assert math.isclose(g["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+            # the counts' share of the probability is a lower bound, the prior's whole mass an upper one
+            low_, high = (sum(math.log10(max(1e-12, three[tuple(p[i - 2 : i + 1])] + q) / (after[tuple(p[i - 2 : i])] + maxent_lm.PRIOR)) for i in range(2, len(p))) for q in (0, maxent_lm.PRIOR))
+            assert low_ <= g["score"] <= high
+    assert maxent_lm.score_texts(empty, F.lit(True)).count() == 0
+    assert maxent_lm.score_texts(some, F.lit(False)).where("n_known > 0 or train_tokens > 0 or score is null").count() == 0
+
+
+def test_language_model_beats_word_counts_and_tells_repeats(spark, sf):
+    rows = queries.op6_maxent_lm(spark, sf.replace("0.001", "0.01")).toPandas()
+    rows["model"], rows["base"] = rows["score"] / rows["n_tokens"], rows["base_score"] / rows["n_tokens"]
+    held = rows[rows["held_out"] & (rows["n_tokens"] > 20)]
+    assert held["score"].sum() > 0.95 * held["base_score"].sum() and (held["model"] - held["base"]).median() > 0.05
+    texts = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", F.xxhash64("text").alias("h")).toPandas()
+    seen = rows[~rows["held_out"] & (rows["n_tokens"] > 20)].merge(texts, on="doc_id")
+    twice = seen.groupby("h")["doc_id"].transform("count") > 1
+    assert seen[twice]["model"].median() > seen[~twice]["model"].median() + 0.1
 
 
 def test_class_probabilities_sum_to_one():
