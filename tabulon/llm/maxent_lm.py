@@ -125,9 +125,12 @@ def _keys(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.concatenate([context, tb.mix(context ^ (tokens * np.uint64(0x8CB92BA72F3D8DD7)))])
 
 
-def _split(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where the parts begin in sorted keys; a part is a range of keys."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+def _placed(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts begin in sorted keys, a part being a range of keys, and 32 bits of each key's place in its part, in order."""
+    bits = np.uint64(parts.bit_length())
+    with np.errstate(over="ignore"):
+        x = (keys >> bits) * np.uint64(parts)
+        return np.searchsorted(x >> (np.uint64(64) - bits), np.arange(parts + 1, dtype=np.uint64)), (x << bits >> np.uint64(32)).astype(np.uint32)
 
 
 class _Blob:
@@ -150,6 +153,19 @@ class _Blob:
         return np.bincount(at, np.tile(self.counted, len(at) // max(1, len(self.counted))), n).astype(np.uint32)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs, by planes of bytes, compressed."""
+    width = 1 if (most := int(counts.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4
+    raw = counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    width, size = packed[0], int.from_bytes(packed[1:9], "little")
+    raw = pa.decompress(packed[9:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel().astype(np.uint32)
+
+
 _PARTS = "part long, blob long, words binary, kinds binary, word_counts binary, keys binary, counts binary"
 
 
@@ -161,11 +177,11 @@ def _sent(parts: int):
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 blob = _Blob(payload)
                 words, keys = blob.training(blob.word_at, len(blob.words)), blob.training(blob.key_at, len(blob.keys))
-                low = blob.keys.astype(np.uint32)
-                w, k = _split(blob.words, parts), _split(blob.keys, parts)
+                w, (k, low) = _placed(blob.words, parts)[0], _placed(blob.keys, parts)
+                steps = lambda x: _packed(np.diff(x, prepend=np.uint32(0)))
                 some = np.flatnonzero((np.diff(w) > 0) | (np.diff(k) > 0))
-                cut = lambda x, at: pa.array([x[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), number)), cut(blob.words, w), cut(blob.word_class, w), cut(words, w), cut(low, k), cut(keys, k)], [c.split()[0] for c in _PARTS.split(", ")])
+                cut = lambda x, at, form=np.ndarray.tobytes: pa.array([form(x[at[p] : at[p + 1]]) for p in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), number)), cut(blob.words, w), cut(blob.word_class, w), cut(words, w, _packed), cut(low, k, steps), cut(keys, k, _packed)], [c.split()[0] for c in _PARTS.split(", ")])
 
     return run
 
@@ -179,19 +195,19 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     current = None
 
-    def added(values: list[bytes], counts: list[bytes], kind):
-        flat = np.frombuffer(b"".join(values), kind)
+    def added(values: list[np.ndarray], counts: list[bytes]):
+        flat = np.concatenate(values)
         keys, first, at = np.unique(flat, return_index=True, return_inverse=True)
-        total = np.bincount(at, np.frombuffer(b"".join(counts), np.uint32), len(keys)).astype(np.int64)
-        cut = np.cumsum([0, *(len(v) // flat.itemsize for v in values)])
+        total = np.bincount(at, np.concatenate([_unpacked(c) for c in counts]), len(keys)).astype(np.int64)
+        cut = np.cumsum([0, *map(len, values)])
         back = np.minimum(total, 2**32 - 1).astype(np.uint32)[at]
-        return first, total, [back[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return first, total, [_packed(back[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def answer():
         blobs, words, kinds, word_counts, keys, counts = zip(*held, strict=True)
-        first, total, own = added(words, word_counts, np.uint64)
+        first, total, own = added([np.frombuffer(w, np.uint64) for w in words], word_counts)
         kind = np.frombuffer(b"".join(kinds), np.uint8)[first]
-        _, _, back = added(keys, counts, np.uint32)
+        _, _, back = added([np.cumsum(_unpacked(k), dtype=np.uint32) for k in keys], counts)
         n = len(blobs)
         yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.int64()), pa.array([current] * n, pa.int64()), pa.array(own, pa.binary()), pa.array(back, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names)
         seen = [np.bincount(kind, x, CLASSES).astype(np.int64).tolist() for x in (total, total > 0)]
@@ -284,8 +300,8 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
 
     def scored(blob: _Blob, back: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         weights, log_size = shared.value
-        words = np.frombuffer(b"".join(x for x, _ in back), np.uint32)[blob.word_at].astype(float)
-        context, three = np.frombuffer(b"".join(x for _, x in back), np.uint32)[blob.key_at].reshape(2, -1).astype(float)
+        words = np.concatenate([_unpacked(x) for x, _ in back])[blob.word_at].astype(float)
+        context, three = np.concatenate([_unpacked(x) for _, x in back])[blob.key_at].reshape(2, -1).astype(float)
         prior = np.empty(len(blob.tokens))
         done = 0
         for tokens, classes, at in blob.slices:
