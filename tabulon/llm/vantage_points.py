@@ -5,12 +5,14 @@ vectors by their distance from a vantage point and keeps the range of distances
 nearer side first and prunes a side if the triangle inequality, times the relaxation factor, puts it beyond the worst
 neighbour found so far: factor 1 is exact, larger factors prune more. All queries of a block go down a tree together.
 
-Every row is indexed and every query block meets every shard: the pairs of blocks are dealt out by a join on their
-number, so neither side is broadcast or gathered. Equal vectors of a shard are one point with its smallest ids.
+Every row is indexed, and every shard's tree is built once and written. Every query block meets every tree: the pairs of
+blocks are dealt out by their numbers, so neither side is broadcast or gathered; a tree travels once for each block of
+8192 queries, a query once for each tree. Equal vectors of a shard are one point with its smallest ids.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.tables import written
 
-#: Rows of a shard, queries of a block, vectors of a leaf, relaxation of pruning.
-SHARD, QUERIES, LEAF, FACTOR = 8192, 1024, 128, 1.15
+#: Rows of a shard (the memory of a task), queries of a block, vectors of a leaf, relaxation of pruning, rows that a block's queries come in.
+SHARD, QUERIES, LEAF, FACTOR, PARTS = 8192, 8192, 128, 1.15, 8
 
 
 class Tree:
@@ -59,6 +61,18 @@ class Tree:
         self.nodes[at] = (int(sample[best]), None, self._build(rows[near], rng), self._build(rows[far], rng), *map(float, bounds))
         return at
 
+    def closed(self) -> bytes:
+        """The tree as bytes: it is built once and sent to the query blocks."""
+        return pickle.dumps((self.ids, self.first, self.count, self.raw, self.nodes, self.root), protocol=5)
+
+    @classmethod
+    def opened(cls, data: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.ids, tree.first, tree.count, tree.raw, tree.nodes, tree.root = pickle.loads(data)
+        tree.norm = np.sqrt((tree.raw * tree.raw).sum(1))
+        tree.unit = tree.raw / tree.norm[:, None]
+        return tree
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
         """query id, id, score of the k nearest found for every query, the query's own id left out."""
         q_norm = np.sqrt((queries * queries).sum(1))
@@ -126,41 +140,62 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, factor: float = FAC
     """
     rows, queries = usable(rows, id_column, vector), usable(queries, id_column, vector)
     size = F.size("v")
-    shards = max(1, -(-rows.count() // shard))
-    blocks = max(1, -(-queries.count() // block))
-    # a pair of blocks is a key: shard s meets query block b
-    dealt = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("s", "b", size.alias("n"), F.lit(0).alias("kind"), "id", "v")
-    asked = queries.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("s", F.col("b").cast("int").alias("b"), size.alias("n"), F.lit(1).alias("kind"), "id", "v")
-    both = dealt.withColumn("s", F.col("s").cast("int")).unionByName(asked)
+    trees = written(_trees(rows, k, shard), "nearest-trees")
+    # a tree goes once to every query block, a query once to every tree: blocks are few, as they grow with the trees
+    shards, count = trees.groupBy("n").agg(F.count(F.lit(1)).alias("shards")), queries.groupBy(size.alias("n")).agg(F.count(F.lit(1)).alias("queries"))
+    plan = [(r["n"], r["shards"], max(1, -(-r["queries"] // block))) for r in shards.join(count, "n").collect()]  # a row for each length of vectors
+    if not plan:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, "n int, shards long, blocks long"))
+    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    asked = queries.withColumn("n", size).join(plan, "n").withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
+    asked = asked.groupBy("n", "b", "shards", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(PARTS)).alias("p")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs")).withColumn("s", spread("shards"))
+    asked = asked.select("n", "b", "s", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("tree"), "ids", "vs")
+    sent = trees.join(plan, "n").withColumn("b", spread("blocks")).select("n", "b", "s", F.lit(0).alias("kind"), "tree", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<double>").alias("vs"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, key = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            for i, (n, b, s, kind) in enumerate(keys):
+                if kind == 0:
+                    tree, key = Tree.opened(batch.column(4)[i].as_py()), (n, b, s)
+                elif key == (n, b, s):
+                    q, found, score = tree.search(batch.column(5)[i].values.to_numpy(), batch.column(6)[i].values.to_numpy().reshape(-1, n), k, factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+    found = sent.unionByName(asked).repartition("n", "s", "b").sortWithinPartitions("n", "s", "b", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _trees(rows: DataFrame, k: int, shard: int) -> DataFrame:
+    """n (length of vectors), s (number of the shard) and its tree, one row a shard: every tree is built once."""
+    sized = rows.withColumn("n", F.size("v"))
+    shards = F.broadcast(sized.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards")))  # a row for each length
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         current = None
 
-        def answer():
-            ids, kinds = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            vectors = np.concatenate([h[2] for h in held])
-            own = kinds == 0
-            if own.any() and not own.all():
-                q, i, s = Tree(ids[own], vectors[own], k).search(ids[~own], vectors[~own], k, factor)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+        def tree():
+            ids, vectors = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]).reshape(-1, current[0])
+            return pa.RecordBatch.from_arrays([pa.array([current[0]], pa.int32()), pa.array([current[1]], pa.int64()), pa.array([Tree(ids, vectors, k).closed()], pa.binary())], ["n", "s", "tree"])
 
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(2)])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                part, key = batch.slice(int(a), int(b - a)), tuple(keys[:, a])
+                part, key = batch.slice(int(a), int(b - a)), (int(keys[0, a]), int(keys[1, a]))
                 if key != current and held:
-                    yield from answer()
+                    yield tree()
                     held = []
                 current = key
-                held.append((part.column(4).to_numpy(), part.column(3).to_numpy(), part.column(5).flatten().to_numpy().reshape(part.num_rows, -1)))
+                held.append((part.column(2).to_numpy(), part.column(3).flatten().to_numpy()))
         if held:
-            yield from answer()
+            yield tree()
 
-    found = both.repartition("s", "b").sortWithinPartitions("s", "b", "n", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
-    found = written(found, "nearest")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dealt = sized.join(shards, "n").select("n", F.pmod(F.xxhash64("id"), F.col("shards")).alias("s"), "id", "v")
+    return dealt.repartition("n", "s").sortWithinPartitions("n", "s").select("n", "s", "id", "v").mapInArrow(build, "n int, s long, tree binary")

@@ -202,6 +202,34 @@ def test_neighbours_exact_at_factor_one_and_recall(spark, sf):
     assert vantage_points.nearest(both.where("false"), asked.where("false")).count() == 0
 
 
+def test_tree_of_many_levels_prunes_and_finds():
+    """Shards far above a leaf: exact at factor 1, also with ties and equal vectors; recall and work at 1.15."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 24))
+    x = np.concatenate([centres[rng.integers(0, 60, 5000)] + 0.3 * rng.normal(size=(5000, 24)), np.repeat(centres[:5], 40, axis=0)])
+    ids = rng.permutation(len(x)).astype(np.int64)
+    tree = vantage_points.Tree.opened(vantage_points.Tree(ids, x, 5).closed())
+    assert sum(n[1] is None for n in tree.nodes) > 30
+    asked = np.unique(np.concatenate([np.arange(0, 5200, 40), np.arange(5000, 5005)]))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def truth(a):
+        s = np.round(unit @ unit[a], 12)
+        s[a] = -9
+        return ids[np.lexsort((ids, -s))[:5]].tolist()
+
+    want = {int(ids[a]): truth(a) for a in asked}
+    for factor, least in ((1.0, 1.0), (1.15, 0.95), (1.5, 0.9)):
+        q, found, _ = tree.search(ids[asked], x[asked], 5, factor)
+        got = defaultdict(list)
+        for a, b in zip(q.tolist(), found.tolist(), strict=True):
+            got[a].append(b)
+        hits = sum(len(set(got[a]) & set(w)) for a, w in want.items()) / sum(map(len, want.values()))
+        assert hits >= least
+        if factor == 1.0:
+            assert got == want
+
+
 def test_quality_and_language_held_out(spark, sf):
     sf = sf.replace("0.001", "0.01")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
