@@ -5,13 +5,15 @@ join are shingles of up to PREFIX words, ordered by rarity among the windows. As
 one token is a sufficient prefix: a window is filed under its rarest one, with the token's position in it. Documents
 are joined on these tokens; a window that doesn't fit in at that position (length and position bounds) goes, then
 those whose hash over the window's own size differs, and the words of what is left are compared byte by byte.
-Benchmarks of any size are taken in blocks of at most BLOCK bytes of text, a broadcast each.
+Benchmarks of any size are taken in blocks of about BLOCK / 2 bytes of text: a task makes each block's index, of
+some six times those bytes, which is then broadcast as it is to all documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,39 +40,68 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some items, filed under their rarest tokens."""
+    """The windows of some items as arrays, filed under their rarest tokens: each is a place in the items' words."""
 
-    def __init__(self, rows: list[tuple[str, str | None]], size: int):
+    def __init__(self, rows: list[tuple[str, str]], size: int):
         texts = pa.array([t for _, t in rows], pa.large_string())
-        found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        hashed: dict[tuple[bytes, ...], np.ndarray] = {}
-        for first, last, part, starts, ends, at, words in tb.word_slices(texts, tb.ALNUM):
-            raw = part.tobytes()
-            for i in range(last - first):
-                a, b = int(at[i]), int(at[i + 1])
-                own = [raw[s:e] for s, e in zip(starts[a:b], ends[a:b], strict=True)]
-                for k in range(min(1, len(own)) if len(own) < size else len(own) - size + 1):
-                    window = tuple(own[k : k + size])
-                    found[window].add(rows[first + i][0])
-                    hashed[window] = words[a + k : a + k + len(window)]
-        self.words = list(found)
-        self.items = [sorted(found[w]) for w in self.words]
-        self.size = np.array([len(w) for w in self.words], np.int64)
+        raw, begins, ends, hashed, firsts = [], [], [], [], [np.zeros(1, np.int64)]
+        done = words_done = 0
+        for _, _, part, starts, stops, at, words in tb.word_slices(texts, tb.ALNUM):
+            raw.append(part)
+            begins.append(starts + done)
+            ends.append(stops + done)
+            hashed.append(words)
+            firsts.append(at[1:] + words_done)
+            done, words_done = done + len(part), words_done + len(words)
+        self.raw = np.concatenate([np.zeros(0, np.uint8), *raw]).tobytes()
+        self.begins, self.ends = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (begins, ends))
+        words, first = np.concatenate([np.zeros(0, np.uint64), *hashed]), np.concatenate(firsts)
+        n = np.diff(first)
+        count = np.where(n == 0, 0, np.maximum(1, n - size + 1))
+        item = np.repeat(np.arange(len(n)), count)
+        at = first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(size, n[item])
+        # equal windows are one, with the items they are of
+        full, second = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for m in np.unique(length):
+            own = length == m
+            full[own], second[own] = _grams(words, int(m))[at[own]], _grams(tb.mix(words + np.uint64(1)), int(m))[at[own]]
+        order = np.lexsort((item, second, full))
+        new = np.ones(len(order), bool)
+        new[1:] = (full[order][1:] != full[order][:-1]) | (second[order][1:] != second[order][:-1])
+        one = order[new]
+        self.at, self.size, self.full = at[one], length[one], full[one]
+        names = [str(r[0]) for r in rows]
+        which = np.cumsum(new) - 1
+        pair = np.unique(np.stack([which, item[order]]), axis=1) if len(order) else np.zeros((2, 0), np.int64)
+        self.item_names, self.window_items = names, pair[1]
+        self.item_first = np.searchsorted(pair[0], np.arange(len(one) + 1))
         # order of rarity: windows that hold the token, then its hash
-        width = [min(PREFIX, len(w)) for w in self.words]
-        tokens = [_grams(hashed[w], n) for w, n in zip(self.words, width, strict=True)]
-        rarity = Counter(t for own in tokens for t in set(own.tolist()))
-        self.full = np.array([_grams(hashed[w], len(w))[0] for w in self.words], np.uint64)
-        best = [min(range(len(own)), key=lambda j: (rarity[int(own[j])], int(own[j]))) for own in tokens]
         self.files = {}
-        for n in sorted(set(width)):
-            at = np.array([i for i, w in enumerate(width) if w == n], np.int64)
-            key = np.array([tokens[i][best[i]] for i in at], np.uint64)
+        width = np.minimum(PREFIX, self.size)
+        for m in np.unique(width):
+            own = np.flatnonzero(width == m)
+            grams, tries = _grams(words, int(m)), int(self.size[own].max() - m + 1)
+            offset = np.arange(tries)
+            there = offset[None, :] <= (self.size[own] - m)[:, None]
+            tokens = grams[np.minimum(self.at[own][:, None] + offset, max(0, len(grams) - 1))]
+            held = np.unique(np.stack([np.repeat(own, tries).reshape(len(own), tries)[there].astype(np.uint64), tokens[there]]), axis=1)[1]
+            token, often = np.unique(held, return_counts=True)
+            rarity = np.where(there, often[np.minimum(np.searchsorted(token, tokens), len(token) - 1)], np.iinfo(np.int64).max)
+            best = np.lexsort((tokens.ravel(), rarity.ravel(), np.repeat(np.arange(len(own)), tries)))[::tries] % tries
+            key = tokens[np.arange(len(own)), best]
             order = np.argsort(key, kind="stable")
-            key, at = key[order], at[order]
-            there = np.zeros(1 << 20, bool)
-            there[(key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.files[n] = (key, at, np.array([best[i] for i in at], np.int64), there)
+            bits = np.zeros(1 << 20, bool)
+            bits[(key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.files[int(m)] = (key[order], own[order], best[order], bits)
+
+    def same(self, window: int, raw: bytes, starts: np.ndarray, ends: np.ndarray, first: int) -> bool:
+        """Whether the words from the given one on are the window's, byte by byte."""
+        at, n = self.at[window], int(self.size[window])
+        return all(raw[starts[first + k] : ends[first + k]] == self.raw[self.begins[at + k] : self.ends[at + k]] for k in range(n))
+
+    def items(self, window: int) -> list[str]:
+        return [self.item_names[i] for i in self.window_items[self.item_first[window] : self.item_first[window + 1]]]
 
     def hits(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of a slice's word hashes: first words and numbers of the windows that occur, by hash."""
@@ -100,6 +131,13 @@ class Windows:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least_items: int = 2) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated, which replace columns of these names.
 
@@ -117,12 +155,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK // 2)))
     at, held = docs.columns.index("text"), len(docs.columns)
-    work = docs.withColumns({"n_words": F.lit(None).cast("long"), "__hits": F.lit(None).cast("binary"), "__items": F.lit(None).cast("array<string>")})
+    hits_name, items_name = (_free(docs, n) for n in ("hits", "items"))
+    work = docs.withColumns({"n_words": F.lit(None).cast("long"), hits_name: F.lit(None).cast("binary"), items_name: F.lit(None).cast("array<string>")})
     schema = work.schema
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = shared.value
+            windows = pickle.loads(shared.value)
             for batch in batches:
                 n_words, hits, items = [], [], []
                 before = batch.column(held + 1).to_pylist(), batch.column(held + 2).to_pylist()
@@ -133,8 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
                     by_text: dict[int, list[tuple[int, int]]] = defaultdict(list)
                     raw = part.tobytes() if len(start) else b""
                     for s, w, t in zip(start.tolist(), window.tolist(), text.tolist(), strict=True):
-                        own = windows.words[w]
-                        if all(raw[starts[s + k] : ends[s + k]] == x for k, x in enumerate(own)):
+                        if windows.same(w, raw, starts, ends, s):
                             by_text[t].append((s, w))
                     for i in range(last - first):
                         a, b = words_at[i], words_at[i + 1]
@@ -149,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
                         own_items = set(old_items or ())
                         for s, w in by_text[i]:
                             flags[s - a : s - a + windows.size[w]] = True
-                            own_items.update(windows.items[w])
+                            own_items.update(windows.items(w))
                         hits.append(np.packbits(flags).tobytes())
                         items.append(sorted(own_items))
                 new = [pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
@@ -157,12 +195,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
 
         return run
 
-    for k in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = [(r["item_id"], r["text"]) for r in part.distinct().collect()]
-        work = work.mapInArrow(search(spark.sparkContext.broadcast(Windows(rows, size))), schema)
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.setdefault(k, []).append(row)
+        for k, rows in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pickle.dumps(Windows(rows, size), protocol=5)], pa.binary())], ["k", "windows"])
+
+    # tasks make the index of a block each; the driver only hands a block's arrays on
+    dealt = benchmark.distinct().select(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("k"), "item_id", "text")
+    made = written(dealt.repartition(blocks, "k").mapInArrow(index, "k long, windows binary"), "decontaminate-windows") if total else None
+    for k in range(blocks if total else 0):
+        for r in made.where(F.col("k") == k).select("windows").collect():
+            work = work.mapInArrow(search(spark.sparkContext.broadcast(bytes(r["windows"]))), schema)
         if k % AT_ONCE == AT_ONCE - 1 and k + 1 < blocks:
             work = written(work, "decontaminate")
+    if not total:
+        work = work.mapInArrow(search(spark.sparkContext.broadcast(pickle.dumps(Windows([], size)))), schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

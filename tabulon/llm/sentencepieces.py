@@ -241,16 +241,18 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
     blocks = max(1, -(-total // block))
     names = docs.columns
     at = names.index("text")
-    docs = docs.withColumn("__block", F.pmod(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]), F.lit(blocks)).cast("long"))
-    units = _units(docs.select(F.col("__block").alias("block"), "text"), pieces)
+    # by place, not by content: copies of a text spread over the blocks. A row that a repeated read gives another place
+    # finds a unit missing in its block, which is then encoded in place
+    block_of = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long").alias("__block")
+    units = _units(docs.select(block_of, "text").withColumnRenamed("__block", "block"), pieces)
     # a unit has some thirty edges: parts are small, whatever the planner thinks of the bytes shuffled
     units = units.repartition(int(min(PARTS, max(1, total // PART))), "unit").groupBy("unit", "g").agg(F.bit_or("mask").alias("mask"))
     units = units.groupBy("unit").agg(F.collect_list(F.struct("g", "mask")).alias("needs"))
     low = f"filter(sequence(0, {_GROUP - 1}), b -> (shiftright(x.mask, b) & 1) = 1)"
     needs = F.expr(f"flatten(transform(needs, x -> transform({low}, b -> x.g * {_GROUP} + b)))")
     coded = encode_units(units, pieces).select("unit", "ids", needs.alias("blocks")).mapInArrow(_dictionary, _BUNDLE)
-    schema = docs.drop("__block").select("*", F.lit(None).cast("array<int>").alias("ids")).schema
-    both = coded.unionByName(docs.select("__block", *names).mapInArrow(_bundles, _BUNDLE))
+    schema = docs.select("*", F.lit(None).cast("array<int>").alias("ids")).schema
+    both = coded.unionByName(docs.select(block_of, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(_bundles, _BUNDLE))
     inside, path = pieces.inside, model
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +279,8 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
                     key, start, size = key[order], start[order], size[order]
                     held, fresh = [], False
                 for first, last, data, starts, ends, at_unit, hashed in _unit_slices(part.column(at), inside):
-                    long = np.flatnonzero(ends - starts > LONG)
                     where = np.minimum(np.searchsorted(key, hashed), max(0, len(key) - 1))
+                    long = np.flatnonzero((ends - starts > LONG) | (key[where] != hashed)) if len(key) else np.arange(len(hashed))
                     here, begin, flat = (size[where].copy(), start[where].copy(), ids) if len(key) else (np.zeros(len(hashed), np.int64), np.zeros(len(hashed), np.int64), ids)
                     if len(long):
                         library = library or sentencepiece.SentencePieceProcessor(model_file=path)
@@ -291,7 +293,7 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
                     rows = pa.ListArray.from_arrays(pa.array(total[at_unit].astype(np.int32)), pa.array(out.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([*(part.column(i).slice(first, last - first) for i in range(len(names))), rows], names=schema.names)
 
-    return both.repartition("__block").sortWithinPartitions("__block", "__kind").mapInArrow(assemble, schema)
+    return both.repartition(int(min(PARTS, blocks)), "__block").sortWithinPartitions("__block", "__kind").mapInArrow(assemble, schema)
 
 
 _BUNDLE = "__block long, __kind int, payload binary"

@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tabulon.llm import decontaminate, jaccard_join, language, licences, maxent_lm, quality, queries, rans_ids, sentencepieces, url_filter, vantage_points
 from tabulon.llm.tables import components
 
@@ -313,16 +312,3 @@ def test_licences(spark, docs):
     model = licences.fit(docs)
     got = {r["doc_id"]: (r["families"], [n["paragraph"] for n in r["notices"] if n["confirmed"]]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got == {1: (["mit"], [2]), 2: (["cc-by-nc"], [1]), 3: (["gpl"], [1]), 4: ([], []), 5: ([], []), 6: (["apache-2.0", "proprietary"], [1, 2])}
-
-
-def test_pipeline_stages(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = kept
-        kept = spark.createDataFrame(stage(spark, kept, sf).collect(), docs.schema)
-        assert kept.columns == docs.columns and kept.subtract(before).count() == 0, name
-    assert {"doc_id", "ids"} <= set(corpus_pipeline.run(spark, sf).columns)
-    empty = docs.where("false")
-    for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, sf).count() == 0, name
