@@ -3,6 +3,8 @@ and returns a DataFrame that is written as Parquet and read again as the next on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +16,24 @@ from tabulon.llm.tables import bounded_broadcast, written
 QUALITY, LEAKED_ITEMS = 0.3, 1
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns but the used ones under names that no operator has, and what gives them their names back."""
+    names = {c: c if c in used else f"kept column {i}" for i, c in enumerate(docs.columns)}
+    named = lambda df, way: df.select(*[F.col(f"`{a}`").alias(b) for a, b in way])
+    return named(docs, names.items()), lambda df: named(df, [(b, a) for a, b in names.items()])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, doesn't reject."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    scored = quality.score_quality(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, quality.fit(docs, labels))
-    return scored.where(F.col("score") >= QUALITY).select(docs.columns)
+    rows, back = aside(docs, "doc_id", "text")
+    return back(quality.score_quality(rows, quality.fit(rows, labels)).where(F.col("score") >= QUALITY))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: with letters, and near enough to a learned language."""
-    return language.identify(docs, language.fit(docs)).where("not rejected").select(docs.columns)
+    rows, back = aside(docs, "doc_id", "text", "lang")
+    return back(language.identify(rows, language.fit(rows)).where("not rejected"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +42,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a key of their own, so other texts with the doc_id of a dropped row stay, and copies without a
     doc_id go. Texts without words have no duplicates.
     """
-    # keys begin with 1: near_duplicates misses links of an id 0, whose hash is 0
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id() + 1), "pipeline-rows")
-    found = jaccard_join.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "__row").alias("place")
-    groups = written(found.join(keyed.select("__row", place), "__row"), "pipeline-groups")
-    keepers = groups.groupBy("component_id").agg(F.min("place").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("keeper.__row").alias("keeper"))
-    gone = groups.join(bounded_broadcast(keepers, 16), "component_id").where("__row <> keeper").select("__row")
-    return keyed.join(bounded_broadcast(gone, 16), "__row", "left_anti").select(docs.columns)
+    rows, back = aside(docs, "doc_id", "text")
+    keyed = written(rows.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = jaccard_join.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row").alias("place")
+    groups = written(found.join(keyed.select("row", place), "row"), "pipeline-groups")
+    keepers = groups.groupBy("component_id").agg(F.min("place").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("keeper.row").alias("keeper"))
+    gone = groups.join(bounded_broadcast(keepers, 16), "component_id").where("row <> keeper").select("row")
+    return back(keyed.join(bounded_broadcast(gone, 16), "row", "left_anti"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), least_items=LEAKED_ITEMS)
-    return found.where("not contaminated").select(docs.columns)
+    rows, back = aside(docs, "text")
+    return back(decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), least_items=LEAKED_ITEMS).where("not contaminated"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +72,7 @@ STAGES = [
     ("SentencePiece encoding", encode_pieces),
 ]
 
-#: The classifiers are no SQL; tests/llm compares the stages with brute force.
+#: The classifiers are no SQL; tests/llm/test_pipeline.py compares every stage's rows with a brute-force version.
 ORACLE_SQL = None
 
 
