@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulon import catalog_functions
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -84,6 +86,17 @@ for (_t, _k), _rows in _SCALAR:
         _scalar(_n, _t, _k, _f, _s)
 
 
+def _more(rows, plain: bool) -> None:
+    for name, (table, key), text, sql in rows:
+        if plain:
+            _PLAIN.add(name)
+        _scalar(name.replace("+", "_2"), table, key, text, sql)
+
+
+_more(catalog_functions.NUMBERS, False)
+_more(catalog_functions.TEXTS, True)
+
+
 # ---- aggregates by a formula over lineitem, grouped by return flag
 _AGGREGATES = {
     "SUM": ("SUM([l_quantity])", "sum(l_quantity)"), "AVERAGE": ("AVERAGE([l_quantity])", "avg(l_quantity)"), "MIN": ("MIN([l_extendedprice])", "min(l_extendedprice)"), "MAX": ("MAX([l_extendedprice])", "max(l_extendedprice)"), "COUNT": ("COUNT([l_quantity])", "count(l_quantity)"), "COUNTA": ("COUNTA([l_linestatus])", "count(l_linestatus)"), "COUNTBLANK": ("COUNTBLANK([l_linestatus])", "count(*) FILTER (l_linestatus IS NULL OR l_linestatus='')"), "SUMSQ": ("SUMSQ([l_quantity])", "sum(l_quantity*l_quantity)"),
@@ -92,19 +105,23 @@ _AGGREGATES = {
 }
 
 
-def _aggregate(name, text, sql):
+def _aggregate(name, text, sql, table="lineitem", by="l_returnflag"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tabulon.plans.formula import lower, parse
 
-        df = _table(spark, sf_dir, "lineitem")
-        return df.groupBy("l_returnflag").agg(F.round(lower(parse(text), df).cast("double"), 4).alias("result"))
+        df = _table(spark, sf_dir, table)
+        return df.groupBy(by).agg(F.round(lower(parse(text), df).cast("double"), 4).alias("result"))
 
-    _queries[f"agg_{name.lower().replace('.', '_')}"] = run
-    _sql[f"agg_{name.lower().replace('.', '_')}"] = f"SELECT l_returnflag, round(CAST({sql} AS DOUBLE), 4) AS result FROM lineitem GROUP BY l_returnflag"
+    own = f"agg_{name.lower().replace('.', '_').replace('+', '_several')}"
+    _queries[own] = run
+    if sql:
+        _sql[own] = f"SELECT {by}, round(CAST({sql} AS DOUBLE), 4) AS result FROM {table} GROUP BY {by}"
 
 
 for _n, (_f, _s) in _AGGREGATES.items():
     _aggregate(_n, _f, _s)
+for _n, _f, _s in catalog_functions.AGGREGATES:
+    _aggregate(_n, _f, _s, "customer", "c_mktsegment")
 
 
 # ---- relational operators

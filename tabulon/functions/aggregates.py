@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -24,15 +26,26 @@ def both(x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(keep, x), F.when(keep, y)
 
 
-agg("SUM", 1, 1, lambda c: F.coalesce(F.sum(num(c)), F.lit(0.0)))
-agg("AVERAGE", 1, 1, lambda c: F.avg(num(c)))
-agg("MIN", 1, 1, lambda c: F.coalesce(F.min(num(c)), F.lit(0.0)))
-agg("MAX", 1, 1, lambda c: F.coalesce(F.max(num(c)), F.lit(0.0)))
-agg("COUNT", 1, 1, lambda c: F.count(num(c)))
-agg("COUNTA", 1, 1, lambda c: F.count(c))
+def _total(columns) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def _several(one, total):
+    """An aggregate of 1 to 255 arguments from those of each."""
+    return lambda *c: total([one(x) for x in c])
+
+
+_sum = lambda c: F.coalesce(F.sum(num(c)), F.lit(0.0))
+_first = lambda f: lambda c: f(*c) if len(c) > 1 else c[0]
+agg("SUM", 1, 255, _several(_sum, _total))
+agg("AVERAGE", 1, 255, lambda *c: F.avg(num(c[0])) if len(c) == 1 else F.try_divide(_total([_sum(x) for x in c]), _total([F.count(num(x)) for x in c])))
+agg("MIN", 1, 255, _several(lambda c: F.min(num(c)), lambda c: F.coalesce(_first(F.least)(c), F.lit(0.0))))
+agg("MAX", 1, 255, _several(lambda c: F.max(num(c)), lambda c: F.coalesce(_first(F.greatest)(c), F.lit(0.0))))
+agg("COUNT", 1, 255, _several(lambda c: F.count(num(c)), _total))
+agg("COUNTA", 1, 255, _several(F.count, _total))
 agg("COUNTBLANK", 1, 1, lambda c: F.count_if(c.isNull() | (c.cast("string") == "")))
-agg("PRODUCT", 1, 1, lambda c: F.coalesce(F.product(num(c)), F.lit(0.0)))
-agg("SUMSQ", 1, 1, lambda c: F.coalesce(F.sum(num(c) * num(c)), F.lit(0.0)))
+agg("PRODUCT", 1, 255, _several(lambda c: F.product(num(c)), lambda c: F.coalesce(reduce(lambda a, b: F.coalesce(a, F.lit(1.0)) * F.coalesce(b, F.lit(1.0)), c), F.lit(0.0))))
+agg("SUMSQ", 1, 255, _several(lambda c: _sum(num(c) * num(c)), _total))
 agg("SUMPRODUCT", 1, 255, lambda *c: F.coalesce(F.sum(_product([F.coalesce(num(x), F.lit(0.0)) for x in c])), F.lit(0.0)))
 
 
@@ -88,9 +101,9 @@ _raw("COUNTIF", lambda c, v: F.count_if(criteria(c, v)))
 _raw("SUMIF", lambda c, v, s=None: F.coalesce(F.sum(F.when(criteria(c, v), num(F.col(s or c) if isinstance(s or c, str) else s or c))), F.lit(0.0)))
 _raw("AVERAGEIF", lambda c, v, s=None: F.avg(F.when(criteria(c, v), num(F.col(s or c) if isinstance(s or c, str) else s or c))))
 
-agg("AVERAGEA", 1, 1, lambda c: F.avg(_a(c)))
-agg("MAXA", 1, 1, lambda c: F.coalesce(F.max(_a(c)), F.lit(0.0)))
-agg("MINA", 1, 1, lambda c: F.coalesce(F.min(_a(c)), F.lit(0.0)))
+agg("AVERAGEA", 1, 255, lambda *c: F.avg(_a(c[0])) if len(c) == 1 else F.try_divide(_total([F.coalesce(F.sum(_a(x)), F.lit(0.0)) for x in c]), _total([F.count(_a(x)) for x in c])))
+agg("MAXA", 1, 255, _several(lambda c: F.max(_a(c)), lambda c: F.coalesce(_first(F.greatest)(c), F.lit(0.0))))
+agg("MINA", 1, 255, _several(lambda c: F.min(_a(c)), lambda c: F.coalesce(_first(F.least)(c), F.lit(0.0))))
 
 
 def _a(c):
@@ -98,14 +111,42 @@ def _a(c):
     return F.when(c.isNull(), F.lit(None)).when(F.typeof(c) == "string", F.lit(0.0)).otherwise(num(c))
 
 
-agg("MEDIAN", 1, 1, lambda c: F.median(num(c)))
-agg("STDEV.S STDEV", 1, 1, lambda c: F.stddev_samp(num(c)))
-agg("STDEV.P STDEVP", 1, 1, lambda c: F.stddev_pop(num(c)))
-agg("VAR.S VAR", 1, 1, lambda c: F.var_samp(num(c)))
-agg("VAR.P VARP", 1, 1, lambda c: F.var_pop(num(c)))
-agg("DEVSQ", 1, 1, lambda c: F.var_pop(num(c)) * F.count(num(c)))
-agg("GEOMEAN", 1, 1, lambda c: F.when(F.min(num(c)) > 0, F.exp(F.avg(F.ln(F.when(num(c) > 0, num(c)))))))
-agg("HARMEAN", 1, 1, lambda c: F.when(F.min(num(c)) > 0, F.count(num(c)) / F.sum(1 / F.when(num(c) != 0, num(c)))))
+def _spread(*c: Column) -> tuple[Column, Column]:
+    """Numbers and sum of squared deviations of several columns together, from each one's own."""
+    n, mean = [F.count(num(x)) for x in c], [F.coalesce(F.avg(num(x)), F.lit(0.0)) for x in c]
+    all_ = _total(n)
+    middle = F.try_divide(_total([k * m for k, m in zip(n, mean, strict=True)]), all_)
+    own = [F.coalesce(F.var_pop(num(x)), F.lit(0.0)) * k for x, k in zip(c, n, strict=True)]
+    return all_, _total([v + k * (m - middle) * (m - middle) for v, k, m in zip(own, n, mean, strict=True)])
+
+
+def _variance(alone, sample: bool, root: bool):
+    def build(*c):
+        if len(c) == 1:
+            return alone(num(c[0]))
+        n, squares = _spread(*c)
+        v = F.when(n > int(sample), squares / (n - int(sample)))
+        return F.sqrt(v) if root else v
+
+    return build
+
+
+def _median(*c):
+    """Of one column exactly; of several, over the numbers of their rows together, by their counts of each value."""
+    if len(c) == 1:
+        return F.median(num(c[0]))
+    raise NotImplementedError("MEDIAN of several columns: stack them with VSTACK first")
+
+
+agg("MEDIAN", 1, 255, _median)
+agg("STDEV.S STDEV", 1, 255, _variance(F.stddev_samp, True, True))
+agg("STDEV.P STDEVP", 1, 255, _variance(F.stddev_pop, False, True))
+agg("VAR.S VAR", 1, 255, _variance(F.var_samp, True, False))
+agg("VAR.P VARP", 1, 255, _variance(F.var_pop, False, False))
+agg("DEVSQ", 1, 255, lambda *c: _spread(*c)[1])
+_logs = lambda x: F.ln(F.when(num(x) > 0, num(x)))
+agg("GEOMEAN", 1, 255, lambda *c: F.when(_first(F.least)([F.min(num(x)) for x in c]) > 0, F.exp(_total([F.coalesce(F.sum(_logs(x)), F.lit(0.0)) for x in c]) / _total([F.count(num(x)) for x in c]))))
+agg("HARMEAN", 1, 255, lambda *c: F.when(_first(F.least)([F.min(num(x)) for x in c]) > 0, _total([F.count(num(x)) for x in c]) / _total([F.coalesce(F.sum(1 / F.when(num(x) != 0, num(x))), F.lit(0.0)) for x in c])))
 agg("CORREL", 2, 2, lambda x, y: F.corr(*both(x, y)))
 agg("PEARSON", 2, 2, lambda x, y: F.corr(*both(x, y)))
 agg("RSQ", 2, 2, lambda y, x: F.pow(F.corr(*both(x, y)), 2))

@@ -83,7 +83,7 @@ def _beta_inv(p, a, b, lo, hi):
     good = (p > 0) & (p <= 1) & (a > 0) & (b > 0) & (lo < hi)
     q = np.where(good, p, 0.5)
     x, y = np.zeros(len(q)), np.ones(len(q))
-    for _ in range(200):
+    for _ in range(60):
         m = (x + y) / 2
         up = sp.betainc(a, b, m) < q
         x, y = np.where(up, m, x), np.where(up, y, m)
@@ -147,8 +147,10 @@ _neg = lambda f, s, p, c: _where((_t(f) >= 0) & (_t(s) >= 1) & (p > 0) & (p < 1)
 add("NEGBINOM.DIST", 4, 4, _numeric(_neg))
 add("NEGBINOMDIST", 3, 3, _numeric(lambda f, s, p: _neg(f, s, p, np.zeros(len(f)))))
 add("POISSON.DIST POISSON", 3, 3, _numeric(lambda x, m, c: _where((_t(x) >= 0) & (m >= 0), np.where(c != 0, 1 - sp.gammainc(_t(x) + 1, m), np.where(m == 0, (_t(x) == 0) * 1.0, np.exp(_t(x) * np.log(m) - m - sp.lgamma(_t(x) + 1)))))))
-for n, f in {"BESSELJ": sp.bessel_j, "BESSELI": sp.bessel_i, "BESSELK": sp.bessel_k, "BESSELY": sp.bessel_y}.items():
-    add(n, 2, 2, _each(lambda x, k, f=f, n=n: f(float(x), int(k)) if k >= 0 and (n[-1] in "JI" or x > 0) else None, _D))
+for n, f in {"BESSELJ": sp.bessel_j, "BESSELI": sp.bessel_i}.items():
+    add(n, 2, 2, _numeric(lambda x, k, f=f: _where(_t(k) >= 0, f(x, _t(k)))))
+for n, f in {"BESSELK": sp.bessel_k, "BESSELY": sp.bessel_y}.items():
+    add(n, 2, 2, _numeric(lambda x, k, f=f: _where((_t(k) >= 0) & (x > 0), f(np.where(x > 0, x, 1.0), _t(k)))))
 
 # ---- combinatorics
 add("FACT", 1, 1, _each(lambda x: float(math.factorial(int(x))) if 0 <= x < 171 else None, _D))
@@ -393,7 +395,7 @@ def _rate(n, pmt, pv, fv, kind, guess):
 
 
 add("IRR", 1, 2, _opt(_each(irr, _D), 2, 0.1))
-add("XIRR", 2, 3, lambda v, d, g=None: _each(xirr, _D)(v, d.cast("array<date>"), F.lit(0.1) if g is None else g))
+add("XIRR", 2, 3, lambda v, d, g=None: _each(xirr, _D)(v, F.transform(d, as_date), F.lit(0.1) if g is None else g))
 add("MIRR", 3, 3, _each(mirr, _D))
 add("RATE", 3, 6, _opt(lambda *a: _each(_rate, _D)(*map(num, a)), 6, 0.0, 0, 0.1))
 add("NPV", 2, 255, lambda r, *v: _npv(r, v))
@@ -469,25 +471,39 @@ class Coupons:
         return self.days - self.accrued if self.b in (0, 4) else float((self.next - self.s).days)
 
 
-def price(s, m, rate, yld, redemption, freq, basis):
-    c = Coupons(s, m, freq, basis)
-    if rate < 0 or redemption <= 0:
-        return None
+def _flows(first: float, n: int, g: float) -> float:
+    """The sum of n powers of 1 / g from first on, in steps of one."""
+    return n * g**-first if abs(g - 1) < 1e-12 else g**-first * (1 - g**-n) / (1 - 1 / g)
+
+
+def _priced(c: Coupons, rate, redemption):
+    """The price as a function of the yield."""
     k, pay = c.ahead / c.days, 100 * rate / c.f
+    less = pay * c.accrued / c.days
     if c.n == 1:
-        return (redemption + pay) / (1 + k * yld / c.f) - pay * c.accrued / c.days
-    g = 1 + yld / c.f
-    return redemption / g ** (c.n - 1 + k) + sum(pay / g ** (i + k) for i in range(c.n)) - pay * c.accrued / c.days
+        return lambda y: (redemption + pay) / (1 + k * y / c.f) - less
+    return lambda y: redemption / (1 + y / c.f) ** (c.n - 1 + k) + pay * _flows(k, c.n, 1 + y / c.f) - less
 
 
-def _solve(f, target, low=-0.99, high=10.0):
-    """x with f(x) = target for a falling f."""
-    a, b = low, high
-    for _ in range(200):
-        x = (a + b) / 2
-        y = f(x)
-        a, b = (x, b) if y > target else (a, x)
-    return (a + b) / 2
+def price(s, m, rate, yld, redemption, freq, basis):
+    c = Coupons(s, m, freq, basis)
+    return None if rate < 0 or redemption <= 0 else _priced(c, rate, redemption)(yld)
+
+
+def _solve(f, target, low=-0.99, high=1.0):
+    """x with f(x) = target for a falling f: the bracket grows upwards; without a sign change there is none."""
+    if f(low) < target:
+        return None
+    while f(high) > target:
+        if high > 1e9:
+            return None
+        low, high = high, high * 8
+    while high - low > 1e-15 * max(1.0, abs(low)):
+        x = (low + high) / 2
+        if x in (low, high):
+            break
+        low, high = (x, high) if f(x) > target else (low, x)
+    return (low + high) / 2
 
 
 def bond_yield(s, m, rate, pr, redemption, freq, basis):
@@ -497,7 +513,7 @@ def bond_yield(s, m, rate, pr, redemption, freq, basis):
     if c.n == 1:
         a, pay = c.accrued / c.days, rate / c.f
         return ((redemption / 100 + pay) - (pr / 100 + a * pay)) / (pr / 100 + a * pay) * c.f * c.days / c.ahead
-    return _solve(lambda y: price(s, m, rate, y, redemption, freq, basis), pr)
+    return _solve(_priced(c, rate, redemption), pr)
 
 
 def duration(s, m, coupon, yld, freq, basis):
@@ -523,19 +539,22 @@ def _odd_periods(start, end, first, freq, basis, end_of_month):
     return out
 
 
-def odd_first_price(s, m, issue, first, rate, yld, redemption, freq, basis):
+def _odd_first(s, m, issue, first, rate, redemption, freq, basis):
+    """The price of a bond with an odd first period as a function of the yield."""
     freq, basis = int(freq), int(basis)
     if not issue < s < first < m:
-        return None
+        raise ValueError("dates out of order")
     eom = _month_end(m)
     n = round((m.year * 12 + m.month - first.year * 12 - first.month) / (12 // freq))
-    pay, g = 100 * rate / freq, 1 + yld / freq
-    full = _odd_periods(issue, first, first, freq, basis, eom)
-    past = _odd_periods(issue, s, first, freq, basis, eom)
-    ahead = sum(a / b for a, b in full) - sum(a / b for a, b in past)
-    value = redemption / g ** (n + ahead) + pay * sum(a / b for a, b in full) / g**ahead
-    value += sum(pay / g ** (k + ahead) for k in range(1, n + 1))
-    return value - pay * sum(a / b for a, b in past)
+    pay = 100 * rate / freq
+    full, past = (sum(a / b for a, b in _odd_periods(issue, x, first, freq, basis, eom)) for x in (first, s))
+    ahead = full - past
+
+    def value(y):
+        g = 1 + y / freq
+        return redemption / g ** (n + ahead) + pay * full / g**ahead + pay * _flows(1 + ahead, n, g) - pay * past
+
+    return value
 
 
 def odd_last(s, m, last, rate, freq, basis):
@@ -593,8 +612,8 @@ add("PRICE", 6, 7, _bond(price, 2, 7, 0))
 add("YIELD", 6, 7, _bond(bond_yield, 2, 7, 0))
 add("DURATION", 5, 6, _bond(duration, 2, 6, 0))
 add("MDURATION", 5, 6, _bond(lambda s, m, c, y, f, b: duration(s, m, c, y, f, b) / (1 + y / f), 2, 6, 0))
-add("ODDFPRICE", 8, 9, _bond(odd_first_price, 4, 9, 0))
-add("ODDFYIELD", 8, 9, _bond(lambda s, m, i, c, rate, pr, red, f, b: _solve(lambda y: odd_first_price(s, m, i, c, rate, y, red, f, b), pr), 4, 9, 0))
+add("ODDFPRICE", 8, 9, _bond(lambda s, m, i, c, rate, y, red, f, b: _odd_first(s, m, i, c, rate, red, f, b)(y), 4, 9, 0))
+add("ODDFYIELD", 8, 9, _bond(lambda s, m, i, c, rate, pr, red, f, b: _solve(_odd_first(s, m, i, c, rate, red, f, b), pr), 4, 9, 0))
 add("ODDLPRICE", 7, 8, _bond(odd_last_price, 3, 8, 0))
 add("ODDLYIELD", 7, 8, _bond(odd_last_yield, 3, 8, 0))
 add("ACCRINT", 6, 8, _bond(accrint, 3, 8, 0, True))

@@ -239,7 +239,13 @@ add("TYPE", 1, 1, lambda c: when(F.typeof(c) == "string", lit(2)).when(F.typeof(
 add("ERROR.TYPE", 1, 1, lambda c: reduce(lambda w, kv: w.when(c == kv[1], lit(kv[0])), list(enumerate(["#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A"], 2)), when(c == "#NULL!", lit(1))))
 
 # ---- text
-txt = lambda c: F.coalesce(c.cast("string"), lit(""))
+def txt(c: Column) -> Column:
+    """The text of a value: whole numbers without a point, blanks as the empty text."""
+    x = num(c)
+    whole = F.typeof(c).isin("double", "float") & (x == F.floor(x)) & (F.abs(x) < 1e15)
+    return F.coalesce(when(whole, F.floor(x).cast("string")).otherwise(c.cast("string")), lit(""))
+
+
 add("LOWER", 1, 1, lambda c: F.lower(txt(c)))
 add("UPPER", 1, 1, lambda c: F.upper(txt(c)))
 add("LEN", 1, 1, lambda c: F.length(txt(c)).cast("double"))

@@ -22,7 +22,7 @@ def gammainc(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         for n in range(1, 3000):
             term = term * x / (a + n)
             total = total + term
-            if (np.abs(term) <= 1e-17 * np.abs(total))[(x < a + 1)].all():
+            if not (np.abs(term) > 1e-17 * np.abs(total))[(x < a + 1)].any():
                 break
         low = (x > 0) & (x < a + 1)
         out[low] = (head * total)[low]
@@ -37,7 +37,7 @@ def gammainc(a: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = b + an / c
             c = np.where(np.abs(c) < 1e-300, 1e-300, c)
             h = h * d * c
-            if (np.abs(d * c - 1) < 1e-16)[(x >= a + 1)].all():
+            if not (np.abs(d * c - 1) > 5e-16)[(x >= a + 1)].any():
                 break
         high = x >= a + 1
         out[high] = (1 - head * h)[high]
@@ -61,7 +61,7 @@ def betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
                 c = 1 + num / c
                 c = np.where(np.abs(c) < 1e-300, 1e-300, c)
                 h = h * d * c
-            if (np.abs(d * c - 1) < 1e-16).all():
+            if not (np.abs(d * c - 1) > 5e-16).any():
                 break
         value = np.where(y <= 0, 0.0, front * h)
     return np.clip(np.where(swap, 1 - value, value), 0, 1)
@@ -98,42 +98,42 @@ def quantile(cdf, p, low, high, steps: int = 200):
         a = np.where(need, a * 2 - 1, a)
     for _ in range(steps):
         m = (a + b) / 2
+        if not ((m > a) & (m < b)).any():
+            break
         up = cdf(m) < p
         a, b = np.where(up, m, a), np.where(up, b, m)
     return (a + b) / 2
 
 
-def _angles(f, top, n=400):
-    nodes, weights = np.polynomial.legendre.leggauss(n)
-    t = (nodes + 1) * top / 2
-    return (f(t) * weights).sum() * top / 2
-
+def _angles(n: int = 400) -> np.ndarray:
+    return (np.arange(n) + 0.5) * math.pi / n
 
-def bessel_j(x: float, n: int) -> float:
-    return _angles(lambda t: np.cos(n * t - x * np.sin(t)), math.pi) / math.pi
 
+def bessel_j(x, n):
+    """Of whole orders, by the mean of a periodic integrand over equal angles."""
+    t = _angles()
+    return np.cos(n[:, None] * t - x[:, None] * np.sin(t)).mean(1)
 
-def bessel_i(x: float, n: int) -> float:
-    return _angles(lambda t: np.exp(x * np.cos(t)) * np.cos(n * t), math.pi) / math.pi
 
-
-def _tail(f, start: float) -> float:
-    """Integral over t from 0 of a function that falls faster than exp(-t), by panels."""
-    total, a = 0.0, 0.0
-    for _ in range(60):
-        t = a + (_NODES + 1) / 2
-        part = (f(t) * _WEIGHTS).sum() / 2
-        total, a = total + part, a + 1
-        if abs(part) < 1e-17 * max(abs(total), 1e-300) and a > start:
-            break
-    return total
+def bessel_i(x, n):
+    t = _angles()
+    return (np.exp(x[:, None] * np.cos(t)) * np.cos(n[:, None] * t)).mean(1)
 
 
-def bessel_k(x: float, n: int) -> float:
-    return _tail(lambda t: np.exp(-x * np.cosh(t)) * np.cosh(n * t), 3)
+def bessel_k(x, n):
+    """For positive x: the integrand falls doubly exponentially, so a plain sum over equal steps is exact to rounding."""
+    high = np.arccosh(1 + (740 + 40 * n) / x)
+    t = np.linspace(0, 1, 1201)
+    u = high[:, None] * t
+    f = np.exp(-x[:, None] * np.cosh(u) + n[:, None] * u) * (1 + np.exp(-2 * n[:, None] * u)) / 2
+    return (f.sum(1) - (f[:, 0] + f[:, -1]) / 2) * high / 1200
 
 
-def bessel_y(x: float, n: int) -> float:
-    first = _angles(lambda t: np.sin(x * np.sin(t) - n * t), math.pi) / math.pi
-    second = _tail(lambda t: (np.exp(n * t) + (-1) ** n * np.exp(-n * t)) * np.exp(-x * np.sinh(t)), 6) / math.pi
-    return first - second
+def bessel_y(x, n):
+    """For positive x."""
+    t = (_NODES + 1) * math.pi / 2
+    swing = (np.sin(x[:, None] * np.sin(t) - n[:, None] * t) * _WEIGHTS).sum(1) / 2
+    high = np.arcsinh((60 + 12 * n) / x)
+    u = high[:, None] * (_NODES + 1) / 2
+    tail = np.exp(n[:, None] * u - x[:, None] * np.sinh(u)) * (1 + np.where(n % 2 == 0, 1.0, -1.0)[:, None] * np.exp(-2 * n[:, None] * u))
+    return swing - (tail * _WEIGHTS).sum(1) * high / 2 / math.pi

@@ -149,6 +149,8 @@ def capabilities(texts: list[str]) -> list[tuple[str, str, str]]:
     return out
 
 
+#: Functions whose last arguments are numbers of the plan.
+_NUMBERS_LAST = {"T.TEST": 2, "TTEST": 2}
 _RAW = {"SUMIFS", "AVERAGEIFS", "MINIFS", "MAXIFS", "COUNTIFS", "COUNTIF", "SUMIF", "AVERAGEIF"}
 
 
@@ -201,8 +203,19 @@ def lower(node: Node, df: DataFrame) -> Column:
         return f(*plain)
     if node.value == "SUBTOTAL":
         return f.build(node.args[0].value, lower(node.args[1], df))
+    if node.value in _NUMBERS_LAST:
+        k = _NUMBERS_LAST[node.value]
+        return f(*[lower(a, df) for a in node.args[:k]], *[a.value for a in node.args[k:]])
+    if node.value == "INDEX" and len(node.args) == 2:  # of an array, from 1
+        return F.get(lower(node.args[0], df), number(node.args[1]).cast("int") - 1)
     if f.kind == "table":
         raise FormulaError(f"{node.value} takes tables: call the operator")
+    if f.kind == "aggregate" and f.most == 255 and node.value != "SUMPRODUCT":  # a constant counts once, not once a row
+        constants = [a.value for a in node.args if a.kind == "number"]
+        if constants and len(constants) < len(node.args):
+            if f.name != "SUM":
+                raise FormulaError(f"{node.value} of columns and constants")
+            return f(*[lower(a, df) for a in node.args if a.kind not in ("missing", "number")]) + F.lit(sum(constants))
     return f(*[lower(a, df) for a in node.args if a.kind != "missing"])
 
 
