@@ -97,6 +97,27 @@ _more(catalog_functions.NUMBERS, False)
 _more(catalog_functions.TEXTS, True)
 
 
+# ---- errors and blanks: b is blank for every fifth customer, z is 0, 1 or 2
+_ERRORS = {
+    "ISERROR": ("ISERROR([@b]/[@z])", "z=0"), "ISERR": ("ISERR(IF([@z]=1,NA(),[@b]/[@z]))", "z=0"), "ISNA": ("ISNA(IF([@z]=1,NA(),1/[@z]))", "z=1"), "NA": ("ISNA(NA())", "true"),
+    "IFNA": ("IFNA(IF([@z]=1,NA(),5),7)", "CASE WHEN z=1 THEN 7.0 ELSE 5.0 END"), "IFERROR_2": ("IFERROR([@b]/[@z],-1)", "CASE WHEN z=0 THEN -1.0 ELSE coalesce(b,0)/z END"), "ERROR.TYPE": ("IFERROR(ERROR.TYPE(1/[@z]),0)", "CASE WHEN z=0 THEN 2.0 ELSE 0.0 END"),
+    "ISBLANK_2": ("ISBLANK([@b])", "b IS NULL"), "BLANK_SUM": ("[@b]+5", "CAST(coalesce(b,0)+5 AS DOUBLE)"), "BLANK_EQUAL": ("[@b]=0", "coalesce(b,0)=0"), "ERROR_CHAIN": ("IFERROR([@ratio]+1,-9)", "CASE WHEN z=0 THEN -9.0 ELSE coalesce(b,0)/z+1 END"),
+}
+
+
+def _error_query(name, text, sql):
+    @query(f"fn_{name.lower().replace('.', '_')}", f"SELECT o_orderkey, {sql} AS result FROM (SELECT o_orderkey, CASE WHEN o_custkey%5>0 THEN (o_custkey%5)::DOUBLE END AS b, (o_custkey%3)::DOUBLE AS z FROM orders)")
+    def run(spark, sf_dir):
+        from tabulon.plans.formula import calculate
+
+        orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 5 > 0, F.col("o_custkey") % 5).cast("double").alias("b"), (F.col("o_custkey") % 3).cast("double").alias("z"))
+        return calculate(orders, {"result": text, "ratio": "[@b]/[@z]"}).select("o_orderkey", "result")
+
+
+for _n, (_f, _s) in _ERRORS.items():
+    _error_query(_n, _f, _s)
+
+
 # ---- aggregates by a formula over lineitem, grouped by return flag
 _AGGREGATES = {
     "SUM": ("SUM([l_quantity])", "sum(l_quantity)"), "AVERAGE": ("AVERAGE([l_quantity])", "avg(l_quantity)"), "MIN": ("MIN([l_extendedprice])", "min(l_extendedprice)"), "MAX": ("MAX([l_extendedprice])", "max(l_extendedprice)"), "COUNT": ("COUNT([l_quantity])", "count(l_quantity)"), "COUNTA": ("COUNTA([l_linestatus])", "count(l_linestatus)"), "COUNTBLANK": ("COUNTBLANK([l_linestatus])", "count(*) FILTER (l_linestatus IS NULL OR l_linestatus='')"), "SUMSQ": ("SUMSQ([l_quantity])", "sum(l_quantity*l_quantity)"),

@@ -163,7 +163,9 @@ def lower(node: Node, df: DataFrame) -> Column:
 
     def number(n: Node) -> Column:
         c = lower(n, df)
-        return F.coalesce(c.try_cast("double"), F.when(c.isNull(), F.lit(0.0))) if is_text(n) else c.cast("double")
+        if is_text(n):
+            return F.coalesce(c.try_cast("double"), F.when(_filled(n, F.when(c.isNotNull(), F.lit(False)), F.lit(True), df), F.lit(0.0)))
+        return _filled(n, c.cast("double"), F.lit(0.0), df)
 
     if node.kind in ("number", "text", "logical"):
         return F.lit(node.value)
@@ -186,7 +188,9 @@ def lower(node: Node, df: DataFrame) -> Column:
         if node.value in ("=", "<>", "<", "<=", ">", ">="):
             x, y = lower(a, df), lower(b, df)
             if is_text(a) or is_text(b):
-                x, y = F.lower(x.cast("string")), F.lower(y.cast("string"))
+                x, y = (_filled(n, F.lower(c.cast("string")), F.lit(""), df) for n, c in ((a, x), (b, y)))
+            else:
+                x, y = (_filled(n, c, F.lit(0), df) if kinds.get(n.value) in _NUMBERS else c for n, c in ((a, x), (b, y)))
             return {"=": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[node.value]
         x, y = number(a), number(b)
         if node.value == "/":
@@ -194,6 +198,10 @@ def lower(node: Node, df: DataFrame) -> Column:
         if node.value == "^":
             return FUNCTIONS["POWER"](x, y) if function("POWER") else x
         return {"+": x + y, "-": x - y, "*": x * y}[node.value]
+    if node.value in _ERROR_TESTS:
+        if len(node.args) != (2 if node.value in ("IFERROR", "IFNA") else 1):
+            raise FormulaError(f"arguments of {node.value}")
+        return _error_test(node, df)
     try:
         f = function(node.value)
     except KeyError:
@@ -216,19 +224,111 @@ def lower(node: Node, df: DataFrame) -> Column:
             if f.name != "SUM":
                 raise FormulaError(f"{node.value} of columns and constants")
             return f(*[lower(a, df) for a in node.args if a.kind not in ("missing", "number")]) + F.lit(sum(constants))
-    return f(*[lower(a, df) for a in node.args if a.kind != "missing"])
-
-
-def calculate(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
-    """df with a column for each formula; formulas may use each other in any order, but not in a cycle."""
+    plain = [a for a in node.args if a.kind != "missing"]
+    if f.kind == "scalar" and node.value not in _KEEP_BLANKS:  # a blank number is 0
+        return f(*[_filled(a, lower(a, df), F.lit(0), df) if kinds.get(a.value if a.kind == "row" else None) in _NUMBERS else lower(a, df) for a in plain])
+    return f(*[lower(a, df) for a in plain])
+
+
+#: Types of number columns.
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+#: Functions that tell blanks from zeros.
+_KEEP_BLANKS = {"ISBLANK", "ISNUMBER", "ISTEXT", "ISNONTEXT", "ISLOGICAL", "TYPE", "T", "IF", "IFS", "SWITCH", "CHOOSE", "CONCAT", "CONCATENATE", "TEXTJOIN", "LEN", "EXACT"}
+_ERROR_TESTS = {"IFERROR", "IFNA", "ISERROR", "ISERR", "ISNA", "ISBLANK", "ERROR.TYPE"}
+#: The column that holds the error of a formula's column.
+_ERROR_OF = "{}!error"
+# The numbers of errors, and the errors of functions whose arguments are outside their domain (#NUM! for others).
+_CODES = {"#NULL!": 1, "#DIV/0!": 2, "#VALUE!": 3, "#REF!": 4, "#NAME?": 5, "#NUM!": 6, "#N/A": 7}
+_DOMAIN = {
+    **dict.fromkeys(("MOD", "QUOTIENT", "ATAN2", "COT", "COTH", "CSC", "CSCH", "SLN"), "#DIV/0!"), **dict.fromkeys(("IFS", "SWITCH", "NA"), "#N/A"),
+    **dict.fromkeys(("FIND", "SEARCH", "VALUE", "DATEVALUE", "TIMEVALUE", "LEFT", "RIGHT", "MID", "REPT", "REPLACE", "CHAR", "UNICHAR", "UNICODE", "CHOOSE", "SUBSTITUTE", "ARABIC", "ROMAN", "TEXT"), "#VALUE!"),
+}
+
+
+def _filled(node: Node, c: Column, blank: Column, df: DataFrame) -> Column:
+    """The value of a cell, with blank for a blank one; an error stays NULL, and so does what isn't a cell."""
+    if node.kind not in ("row", "column"):
+        return c
+    error = _ERROR_OF.format(node.value)
+    return F.when(F.col(f"`{error}`").isNull(), F.coalesce(c, blank)) if error in df.columns else F.coalesce(c, blank)
+
+
+def fault(node: Node, df: DataFrame) -> Column | None:
+    """The error value of a node as text, NULL where it has none; None if it can't have one."""
+    first = lambda columns: F.coalesce(*own) if (own := [c for c in columns if c is not None]) else None
+    of = lambda n: fault(n, df)
+    if node.kind == "error":
+        return F.lit(node.value)
+    if node.kind in ("row", "column"):
+        error = _ERROR_OF.format(node.value)
+        return F.col(f"`{error}`") if error in df.columns else None
+    args = [of(a) for a in node.args]
+    if node.kind == "binary" and node.value in "+-*/^" or node.kind in ("unary", "percent"):
+        texts = [F.when(c.isNotNull() & c.try_cast("double").isNull(), F.lit("#VALUE!")) for a in node.args if a.kind in ("row", "text") and (a.kind == "text" or dict(df.dtypes).get(a.value) == "string") for c in [lower(a, df)]]
+        own = {"/": "#DIV/0!", "^": "#NUM!"}.get(node.value if node.kind == "binary" else None)
+        return first([*args, *texts, F.when(lower(node, df).isNull(), F.lit(own)) if own else None])
+    if node.kind != "call":
+        return first(args)
+    if node.value == "NA":
+        return F.lit("#N/A")
+    if node.value == "IF":
+        none = F.lit(None).cast("string")
+        a, b = args[1], args[2] if len(args) > 2 else None
+        branch = F.when(lower(node.args[0], df).cast("boolean"), none if a is None else a).otherwise(none if b is None else b)
+        return first([args[0], branch])
+    if node.value in ("IFERROR", "IFNA"):
+        if args[0] is None:
+            return None
+        caught = args[0].isNotNull() if node.value == "IFERROR" else args[0] == "#N/A"
+        return F.when(caught, F.lit(None).cast("string") if args[1] is None else args[1]).otherwise(args[0])
+    if node.value == "ERROR.TYPE":
+        return F.lit("#N/A") if args[0] is None else F.when(args[0].isNull(), F.lit("#N/A"))
+    if node.value in _ERROR_TESTS:
+        return None
+    f = function(node.value)
+    if f.kind == "aggregate":
+        return first([F.max(c) for c in args if c is not None] + ([F.when(lower(node, df).isNull(), F.lit("#DIV/0!"))] if node.value.startswith(("AVERAGE", "STDEV", "VAR")) else []))
+    return first([*args, F.when(lower(node, df).isNull(), F.lit(_DOMAIN.get(f.name, "#NUM!")))]) if f.kind == "scalar" and node.value not in _KEEP_BLANKS - {"IFS", "SWITCH", "CHOOSE"} else first(args)
+
+
+def _error_test(node: Node, df: DataFrame) -> Column:
+    """IFERROR, IFNA and the tests: by the error that a value has, not by its being NULL."""
+    error, value = fault(node.args[0], df), lower(node.args[0], df)
+    if node.value == "ISBLANK":
+        blank = value.isNull() if node.args[0].kind in ("row", "column") else F.lit(False)
+        return blank if error is None else blank & error.isNull()
+    if node.value in ("IFERROR", "IFNA"):
+        if error is None:
+            return value
+        return F.when(error.isNotNull() if node.value == "IFERROR" else F.coalesce(error == "#N/A", F.lit(False)), lower(node.args[1], df)).otherwise(value)
+    if error is None:
+        return F.lit(None).cast("double") if node.value == "ERROR.TYPE" else F.lit(False)
+    if node.value == "ERROR.TYPE":
+        return F.coalesce(*[F.when(error == text, F.lit(float(k))) for text, k in _CODES.items()])
+    is_na = F.coalesce(error == "#N/A", F.lit(False))
+    return {"ISERROR": error.isNotNull(), "ISERR": error.isNotNull() & ~is_na, "ISNA": is_na}[node.value]
+
+
+def calculate(df: DataFrame, formulas: dict[str, str], errors: bool = False) -> DataFrame:
+    """df with a column for each formula; formulas may use each other in any order, but not in a cycle.
+
+    An error is NULL, as a blank is; with errors, a column `name!error` says which error it is (NULL for none).
+    """
     nodes = {n: parse(t) for n, t in formulas.items()}
-    waiting, done = dict(nodes), df
+    waiting, done, told = dict(nodes), df, []
     while waiting:
         ready = [n for n, node in waiting.items() if not (names(node) & set(waiting))]
         if not ready:
             raise FormulaError(f"circular reference: {', '.join(sorted(waiting))}")
-        done = done.withColumns({n: lower(waiting.pop(n), done) for n in ready})
-    return done
+        values = {n: lower(waiting[n], done) for n in ready}
+        found = {_ERROR_OF.format(n): c for n in ready if (c := fault(waiting[n], done)) is not None}
+        needed = {v for node in waiting.values() for v in names(node)}  # by formulas that follow
+        for n in ready:
+            del waiting[n]
+        found = {n: c for n, c in found.items() if errors or n.removesuffix("!error") in needed}
+        told += found
+        done = done.withColumns({**values, **found})
+    return done if errors else done.drop(*told)
 
 
 def evaluate(df: DataFrame, formulas: dict[str, str]) -> DataFrame:

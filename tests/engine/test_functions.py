@@ -51,7 +51,7 @@ def test_errors_are_blank(spark):
 def test_formulas_use_each_other_and_cycles_are_found(spark):
     df = spark.createDataFrame([(1, 10.0, "x"), (2, None, "Y")], "id long, a double, t string")
     out = calculate(df, {"c": "=[@b]+5", "b": "=[@a]*2", "d": '=IF([@t]="X","hit","no")'}).orderBy("id").collect()
-    assert [(r["b"], r["c"], r["d"]) for r in out] == [(20.0, 25.0, "hit"), (None, None, "no")]
+    assert [(r["b"], r["c"], r["d"]) for r in out] == [(20.0, 25.0, "hit"), (0.0, 5.0, "no")]  # a blank number is 0
     with pytest.raises(FormulaError):
         calculate(df, {"x": "=[@y]", "y": "=[@x]"})
     with pytest.raises(FormulaError):
@@ -93,3 +93,15 @@ def test_what_is_not_done_is_not_registered(spark):
         assert name not in names
         with pytest.raises(KeyError):
             function(name)
+
+
+def test_errors_are_told_from_blanks_and_go_on_to_formulas_that_use_them(spark):
+    df = spark.createDataFrame([(1, 6.0, 2.0, "x"), (2, 6.0, 0.0, None), (3, None, 3.0, "4")], "id long, a double, b double, t string")
+    formulas = {"q": "[@a]/[@b]", "r": "[@q]+1", "back": "IFERROR([@r],-1)", "kind": "IFERROR(ERROR.TYPE([@r]),0)", "blank": "ISBLANK([@a])", "text": "[@t]*2", "na": "IFNA(IF([@b]=0,NA(),[@a]),9)", "root": "SQRT(-1-[@b])", "missing": "ISERR(NA())"}
+    rows = calculate(df, formulas, errors=True).orderBy("id").collect()
+    assert [(r["q"], r["r"], r["back"], r["kind"]) for r in rows] == [(3.0, 4.0, 4.0, 0.0), (None, None, -1.0, 2.0), (0.0, 1.0, 1.0, 0.0)]
+    assert [r["q!error"] for r in rows] == [None, "#DIV/0!", None] == [r["r!error"] for r in rows]
+    assert [r["blank"] for r in rows] == [False, False, True] and [r["text"] for r in rows] == [None, 0.0, 8.0]
+    assert [r["text!error"] for r in rows] == ["#VALUE!", None, None] and {r["root!error"] for r in rows} == {"#NUM!"}
+    assert [r["na"] for r in rows] == [6.0, 9.0, None] and not any(r["missing"] for r in rows)
+    assert "q!error" not in calculate(df, formulas).columns
