@@ -76,21 +76,28 @@ _LINE = tb.byte_class([(10, 10)], inside=False)
 
 #: Bytes that begin a line which goes on with the one before.
 _GOES_ON = tb.byte_class([(48, 57), (97, 122)])
-#: The same as a pattern that splits texts.
-_HARD = r"(?<!,)\n(?![a-z0-9])"
 
 
 def _soft(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places of line ends inside a paragraph."""
     at = np.flatnonzero(data == 10)
-    inner = (at + 1 < len(data)) & (at > 0)
-    at = at[inner]
     text = np.searchsorted(offsets, at, "right")
-    after = _GOES_ON[data[at + 1]] & (np.searchsorted(offsets, at + 1, "right") == text)
-    before = (data[at - 1] == 44) & (np.searchsorted(offsets, at - 1, "right") == text)
+    after = _GOES_ON[data[np.minimum(at + 1, len(data) - 1)]] & (np.searchsorted(offsets, at + 1, "right") == text)
+    before = (data[np.maximum(at - 1, 0)] == 44) & (np.searchsorted(offsets, at - 1, "right") == text)
     return at[after | before]
 
 
+def _paragraph_slices(column: pa.Array):
+    """For each slice: first text, last text, lower-cased bytes with blanks for the line ends inside paragraphs, offsets
+    of its texts, starts and ends of its paragraphs, each text's first paragraph and end."""
+    data, offsets = tb.buffers(column)
+    for first, last in tb.slices(offsets):
+        part, own = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        soft, part = _soft(part, own), tb.LOWER[part]
+        part[soft] = 32
+        yield first, last, part, own, *tb.spans(part, own, _LINE)
+
+
 class Model:
     """n-grams of the notices with a row of weights each; class 0 is unknown."""
 
@@ -105,8 +112,13 @@ class Model:
         self.keys = np.unique(np.concatenate(positive))
         self.there = np.zeros(1 << 20, bool)
         self.there[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.names = [[w for w in _words(NAMES[f])] for f in self.families]
-        self.pairs = [[set(_grams(w, 2).tolist()) for w in _words(SENTENCES.get(f, []))] for f in self.families]
+        # by length in words: the names' grams, and whose they are
+        self.names: dict[int, dict[int, set[int]]] = {}
+        for k, f in enumerate(self.families):
+            for w in filter(len, _words(NAMES[f])):
+                self.names.setdefault(len(w), {}).setdefault(int(_grams(w, len(w))[0]), set()).add(k)
+        self.pairs = [(k, p) for k, f in enumerate(self.families) for w in _words(SENTENCES.get(f, [])) if (p := set(_grams(w, 2).tolist()))]
+        self.any_pair = set().union(*(p for _, p in self.pairs))
         unknown = [t for t, w in zip(unknown, _words(unknown), strict=True) if not self.confirmations(w)]
         self.trained = line_hashes(unknown)
         train = OTHERS + unknown
@@ -145,25 +157,20 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
         return at[self.keys[at] == own]
 
-    def confirmed(self, family: int, words: np.ndarray) -> bool:
-        for name in self.names[family]:
-            if len(name) and len(words) >= len(name) and (np.lib.stride_tricks.sliding_window_view(words, len(name)) == name).all(1).any():
-                return True
-        own = set(_grams(words, 2).tolist())
-        return any(p and len(p & own) * 2 >= len(p) for p in self.pairs[family])
-
     def confirmations(self, words: np.ndarray) -> list[int]:
-        """The families whose templates confirm the paragraph."""
-        return [k for k in range(len(self.families)) if self.confirmed(k, words)]
+        """The families whose templates confirm the paragraph: a name stands in it, or half of the word pairs of a sentence."""
+        found: set[int] = set()
+        for n, names in self.names.items():
+            for g in names.keys() & set(_grams(words, n).tolist()):
+                found |= names[g]
+        own = self.any_pair & set(_grams(words, 2).tolist())
+        found.update(k for k, p in self.pairs if 2 * len(p & own) >= len(p))
+        return sorted(found)
 
     def paragraphs(self, column: pa.Array):
         """For each slice: first text, last text, bytes, starts and ends of its paragraphs, each text's first paragraph and end, words and their
         paragraphs, the paragraphs that share an n-gram with a notice, and their classes' probabilities."""
-        data, offsets = tb.buffers(column)
-        for first, last in tb.slices(offsets):
-            part, own = tb.LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
-            part[_soft(data[offsets[first] : offsets[last]], own)] = 32
-            starts, ends, at = tb.spans(part, own, _LINE)
+        for first, last, part, own, starts, ends, at in _paragraph_slices(column):
             ws, we, _ = tb.spans(part, own, tb.ALNUM)
             words = tb.hashes(part, ws, we)
             paragraph = np.searchsorted(starts, ws, "right") - 1
@@ -192,9 +199,25 @@ def line_hashes(lines: list[str]) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """The model, with about sample distinct paragraphs of docs (text), at most about half of them, as the unknown class, calibrated on all others."""
     small_batches(docs.sparkSession)
-    lines = docs.select(F.explode(F.split("text", _HARD)).alias("line")).select(F.translate("line", "\n", " ").alias("line")).where("length(line) > 0").withColumn("h", F.xxhash64("line"))
-    n = lines.agg(F.approx_count_distinct("h")).first()[0]
-    chosen = lines.where(F.pmod("h", F.lit(max(2, n // sample))) == 0).select("line", "h").distinct().orderBy("h", "line").limit(sample)
+    texts = docs.select("text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, part, _, starts, ends, _ in _paragraph_slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(tb.hashes(part, starts, ends)).view(np.int64))], ["h"])
+
+    n = texts.mapInArrow(hashed, "h long").agg(F.approx_count_distinct("h")).first()[0]
+    every = max(2, n // sample)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, part, _, starts, ends, _ in _paragraph_slices(batch.column(0)):
+                h, one = np.unique(tb.hashes(part, starts, ends), return_index=True)
+                mine = h % np.uint64(every) == 0
+                lines = [part[starts[i] : ends[i]].tobytes().decode() for i in one[mine]]
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(h[mine].view(np.int64))], ["line", "h"])
+
+    chosen = texts.mapInArrow(sampled, "line string, h long").distinct().orderBy("h", "line").limit(sample)
     model = Model([r["line"] for r in chosen.collect()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -212,7 +235,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 h, one = np.unique(h[keep], return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(best[keep][one] * STEPS, STEPS - 1).astype(np.int32))], ["h", "step"])
 
-    steps = docs.select("text").mapInArrow(unknown, "h long, step int").groupBy("h").agg(F.max("step").alias("step")).groupBy("step").count()
+    steps = texts.mapInArrow(unknown, "h long, step int").groupBy("h").agg(F.max("step").alias("step")).groupBy("step").count()
     model.calibrate({r["step"]: r["count"] for r in steps.collect()})
     return model
 

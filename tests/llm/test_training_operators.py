@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +313,23 @@ def test_licences(spark, docs):
     model = licences.fit(docs)
     got = {r["doc_id"]: (r["families"], [n["paragraph"] for n in r["notices"] if n["confirmed"]]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got == {1: (["mit"], [2]), 2: (["cc-by-nc"], [1]), 3: (["gpl"], [1]), 4: ([], []), 5: ([], []), 6: (["apache-2.0", "proprietary"], [1, 2])}
+
+
+def test_licence_paragraphs_and_templates():
+    """Paragraphs don't depend on where a text stands in its slice; a name or half of a sentence's word pairs confirm a family."""
+    texts = ["Held, as we said,\n", "One line\ngoes on,\nHere too\nThere not", "", "\n", None, ",\n\nA"]
+
+    def paragraphs(column):
+        return [part[a:b].tobytes().decode() for _, _, part, _, starts, ends, _ in licences._paragraph_slices(pa.array(column, pa.string())) for a, b in zip(starts, ends, strict=True)]
+
+    assert paragraphs(texts) == [p for t in texts for p in paragraphs([t])]
+    assert sorted(paragraphs(texts[::-1])) == sorted(paragraphs(texts))
+    assert paragraphs(texts)[:3] == ["held, as we said, ", "one line goes on, here too", "there not"]
+    model = licences.Model(["The river runs by the old town."] * 3)
+
+    def families(text):
+        return [model.families[k] for (w,) in [licences._words([text])] for k in model.confirmations(w)]
+
+    assert families("Code: the MIT License; texts: CC BY-SA 4.0.") == ["cc-by-sa", "mit"]
+    assert families("This Source Code Form is subject to the rules of the house") == ["mpl-2.0"]
+    assert families("This Source Code is ours") == families("") == families("license") == []
