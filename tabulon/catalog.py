@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulon import catalog_functions
@@ -294,9 +293,42 @@ def _scan(spark, sf_dir):
     return scan(_table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", ["o_custkey"]).select("o_orderkey", F.round("running", 2).alias("running"))
 
 
-@query("rank_eq", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS INTEGER) AS rank FROM orders")
+@query("rank_eq", "SELECT o_orderkey, CAST(rank() OVER (ORDER BY o_totalprice DESC) AS BIGINT) AS rank FROM orders")
 def _rank(spark, sf_dir):
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.rank().over(W.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"))).alias("rank"))
+    from tabulon.functions.registry import function
+
+    return function("RANK.EQ")(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", "rank")
+
+
+@query("trend", "SELECT o_orderkey, round((SELECT regr_intercept(o_totalprice, o_custkey) FROM orders) + (SELECT regr_slope(o_totalprice, o_custkey) FROM orders) * o_custkey, 3) AS trend FROM orders")
+def _trend(spark, sf_dir):
+    from tabulon.functions.registry import function
+
+    return function("TREND")(_table(spark, sf_dir, "orders"), "o_totalprice", ["o_custkey"]).select("o_orderkey", F.round("trend", 3).alias("trend"))
+
+
+@query("trend_origin", "SELECT c_custkey, round((SELECT sum(o_totalprice*o_custkey)/sum(CAST(o_custkey AS DOUBLE)*o_custkey) FROM orders) * c_custkey, 3) AS trend FROM customer")
+def _trend_origin(spark, sf_dir):
+    from tabulon.functions.registry import function
+
+    new = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("o_custkey"))
+    return function("TREND")(_table(spark, sf_dir, "orders"), "o_totalprice", ["o_custkey"], new, const=False).select("c_custkey", F.round("trend", 3).alias("trend"))
+
+
+@query("growth", "SELECT o_orderkey, round(exp((SELECT regr_intercept(ln(o_totalprice), o_custkey) FROM orders) + (SELECT regr_slope(ln(o_totalprice), o_custkey) FROM orders) * o_custkey), 3) AS growth FROM orders")
+def _growth(spark, sf_dir):
+    from tabulon.functions.registry import function
+
+    return function("GROWTH")(_table(spark, sf_dir, "orders"), "o_totalprice", ["o_custkey"]).select("o_orderkey", F.round("growth", 3).alias("growth"))
+
+
+@query("hlookup", "WITH s AS (SELECT CAST(s_nationkey AS DOUBLE) AS a, CAST(s_acctbal AS DOUBLE) AS b, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier) SELECT c_custkey, CASE WHEN k.a<=c_acctbal AND (k.b>c_acctbal OR k.a>=k.b) THEN v.a WHEN k.b<=c_acctbal THEN v.b END AS value FROM customer, s k, s v WHERE k.place=1 AND v.place=3")
+def _hlookup(spark, sf_dir):
+    from tabulon.functions.registry import function
+
+    wide = _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("a"), F.col("s_acctbal").cast("double").alias("b"))
+    probes = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("key"))
+    return function("HLOOKUP")(probes, "key", wide, 3, "s_suppkey").select("c_custkey", "value")
 
 
 @query("large", "SELECT (SELECT o_totalprice FROM orders ORDER BY 1 DESC LIMIT 1 OFFSET 9) AS value")

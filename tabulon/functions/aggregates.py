@@ -213,9 +213,9 @@ _raw("TTEST", lambda x, y, tails, kind: _t_columns(x, y, tails, kind))
 agg("F.TEST FTEST", 2, 2, _f_columns)
 
 
-def linest(y: Column, *x: Column) -> Column:
-    """Coefficients in reverse order of x, then the intercept: sums of products in one pass, solved in an Arrow kernel."""
-    values = [F.lit(1.0), *(num(c) for c in x)]
+def linest(y: Column, *x: Column, const: bool = True) -> Column:
+    """Coefficients in reverse order of x, then the intercept (0 without const): sums of products in one pass, solved in an Arrow kernel."""
+    values = [F.lit(1.0)] * const + [num(c) for c in x]
     keep = num(y).isNotNull()
     for c in x:
         keep = keep & num(c).isNotNull()
@@ -232,7 +232,7 @@ def linest(y: Column, *x: Column) -> Column:
                     a[i, j] = a[j, i] = row[k] if row[k] is not None else np.nan
                     k += 1
             b = np.array(row[k:], float)
-            out.append(None if not np.isfinite(a).all() else list(np.linalg.lstsq(a, b, rcond=None)[0][::-1]))
+            out.append(None if not np.isfinite(a).all() else [*np.linalg.lstsq(a, b, rcond=None)[0][::-1], *[0.0] * (not const)])
         return pd.Series(out)
 
     return solve(*sums)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.registry import FUNCTIONS, Function
-from tabulon.operators import arrays, grouping, lookup
+from tabulon.operators import arrays, grouping, lookup, ranks
 
 
 
@@ -22,7 +22,7 @@ for name, build in {
     "TOCOL": arrays.to_column, "TOROW": arrays.to_column, "WRAPROWS": arrays.wrap_rows, "WRAPCOLS": arrays.wrap_columns, "SEQUENCE": arrays.sequence,
     "MUNIT": arrays.munit, "MMULT": arrays.mmult, "TRANSPOSE": arrays.transpose, "MINVERSE": arrays.minverse, "SCAN": arrays.scan,
     "GROUPBY": grouping.groupby, "PIVOTBY": grouping.pivotby, "XLOOKUP": lookup.xlookup, "XMATCH": lookup.match, "MATCH": lookup.match,
-    "VLOOKUP": lookup.vlookup, "LOOKUP": lookup.lookup,
+    "VLOOKUP": lookup.vlookup, "HLOOKUP": lookup.hlookup, "LOOKUP": lookup.lookup,
     **{n: (lambda df, field, rows, n=n: grouping.database(df, n, field, rows)) for n in (*grouping._DATABASE, "DGET", "DCOUNTA")},
     "INDEX": lambda df, place, row, column: df.where(F.col(place) == row).select(df.columns[column - 1]),
     "ROWS": lambda df: df.count(), "COLUMNS": lambda df: len(df.columns),
@@ -31,7 +31,8 @@ for name, build in {
     "MAKEARRAY": lambda rows, columns, f: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(rows)), lambda r: F.transform(F.sequence(F.lit(1), F.lit(columns)), lambda c: f(r, c)))),
     "LARGE": lambda df, value, k: df.where(F.col(value).isNotNull()).orderBy(F.desc(value)).limit(k).agg(F.min(value).alias("value")),
     "SMALL": lambda df, value, k: df.where(F.col(value).isNotNull()).orderBy(value).limit(k).agg(F.max(value).alias("value")),
-    "RANK.EQ": lambda value, order=0: F.rank().over(Window.orderBy(F.asc(value) if order else F.desc(value))),
+    "RANK.EQ": lambda df, value, order=0: ranks.rank(df, value, ascending=bool(order)),
+    "TREND": ranks.trend, "GROWTH": lambda df, y, x, new=None, const=True, name="growth": ranks.trend(df, y, x, new, const, name, growth=True),
     "PERCENTRANK.INC": lambda value, digits=3: F.floor(F.percent_rank().over(Window.orderBy(value)) * 10**digits + 1e-9) / 10**digits,
     "AVEDEV": lambda df, value: df.join(F.broadcast(df.agg(F.avg(value).alias("__m")))).agg(F.avg(F.abs(F.col(value) - F.col("__m"))).alias("value")),
     "OFFSET": lambda value, order, rows: F.lag(value, -rows).over(Window.orderBy(order)),

@@ -87,6 +87,22 @@ def vlookup(probes: DataFrame, key: str, table: DataFrame, index: int, order: st
     return xlookup(probes, key, table, columns[0], [columns[index - 1]], order, -1 if approximate else 0)
 
 
+def hlookup(probes: DataFrame, key: str, table: DataFrame, index: int, order: str, approximate: bool = True, name: str = "value") -> DataFrame:
+    """probes with the value of the table's index-th row, in the column whose first row has the probe's key.
+
+    Rows are in the order of the column order, which is no part of the table; its other columns are of types with a common
+    one. Exact first match, or the last key not above. A table of fewer rows gives NULL.
+    """
+    columns = [c for c in table.columns if c != order]
+    if index < 1:
+        raise ValueError("#VALUE!")
+    rows = table.orderBy(order).limit(index).withColumn("__place", F.row_number().over(Window.orderBy(order)))  # index rows
+    cells = rows.select("__place", F.posexplode(F.array(*columns)).alias("__c", "__v"))
+    at = lambda place: F.max(F.when(F.col("__place") == place, F.col("__v")))
+    across = cells.groupBy("__c").agg(at(1).alias("__first"), at(index).alias(name))
+    return xlookup(probes, key, across, "__first", [name], "__c", -1 if approximate else 0)
+
+
 def lookup(probes: DataFrame, key: str, table: DataFrame, table_key: str, result: str, order: str) -> DataFrame:
     """The last exact match, else the last smaller key's row."""
     return xlookup(probes, key, table, table_key, [result], order, -1, -1)

@@ -15,7 +15,7 @@ def test_entry_and_queries_have_rows(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["groupby_subtotals", "pivotby", "xlookup_next_smaller", "xlookup_next_larger", "unique", "mmult_gram", "incremental_batch", "fn_datedif", "agg_sumifs", "db_dsum"])
+@pytest.mark.parametrize("name", ["groupby_subtotals", "pivotby", "xlookup_next_smaller", "xlookup_next_larger", "unique", "mmult_gram", "incremental_batch", "fn_datedif", "agg_sumifs", "db_dsum", "rank_eq", "trend", "trend_origin", "growth", "hlookup"])
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events embeddings".split():
@@ -98,3 +98,19 @@ def test_empty_tables(spark):
     assert groupby(empty, ["k"], {"s": F.sum("v")}, depth=0).count() == 0
     assert lookup.xlookup(empty, "k", empty, "k", ["v"], "o").count() == 0
     assert arrays.unique(empty, ["k"], "o").count() == 0
+
+
+def test_rank_trend_and_hlookup_edges(spark):
+    from tabulon.operators.ranks import rank, trend
+
+    df = spark.createDataFrame([(i, float(v) if v is not None else None) for i, v in enumerate([3, 1, None, 3, 3, 2, 1])], "id long, v double")
+    assert [r["rank"] for r in rank(df, "v").orderBy("id").collect()] == [1, 5, None, 1, 1, 4, 5]
+    assert [r["rank"] for r in rank(df, "v", ascending=True, ranges=2).orderBy("id").collect()] == [4, 1, None, 4, 4, 3, 1]
+    assert rank(df.limit(0), "v").count() == 0
+    line = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0), (2.0, 5.0), (None, 9.0), (3.0, None)], "x double, y double")
+    assert [round(r["trend"], 6) if r["trend"] is not None else None for r in trend(line, "y", ["x"]).orderBy(F.col("x").asc_nulls_last()).collect()] == [1, 3, 5, 7, None]
+    assert {r["trend"] for r in trend(line.withColumn("y", F.col("y") - 1), "y", ["x"], growth=True).collect()} == {None}  # y of 0 has no logarithm
+    wide = spark.createDataFrame([(1, "a", "B", "b"), (2, "1", "2", "3")], "n long, p string, q string, r string")
+    probes = spark.createDataFrame([("A",), ("b",), ("c",), (None,)], "k string")
+    assert {r["k"]: r["value"] for r in lookup.hlookup(probes, "k", wide, 2, "n", approximate=False).collect()} == {"A": "1", "b": "2", "c": None, None: None}
+    assert {r["value"] for r in lookup.hlookup(probes, "k", wide, 3, "n").collect()} == {None}
