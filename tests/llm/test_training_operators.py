@@ -333,3 +333,12 @@ def test_licence_paragraphs_and_templates():
     assert families("Code: the MIT License; texts: CC BY-SA 4.0.") == ["cc-by-sa", "mit"]
     assert families("This Source Code Form is subject to the rules of the house") == ["mpl-2.0"]
     assert families("This Source Code is ours") == families("") == families("license") == []
+
+
+def test_licences_on_odd_rows(spark, empty):
+    """No rows, no words and clashing columns: no notices, one row for each."""
+    model = licences.fit(empty)
+    assert licences.scan(empty, model).count() == 0
+    rows = spark.createDataFrame([(1, None, 5, "x"), (2, "", 5, "x"), (3, "\n\n", 5, "x"), (3, "\n\n", 5, "x"), (4, "\nMIT License", 5, "x")], "doc_id long, text string, n_paragraphs int, h string")
+    got = sorted((r["doc_id"], r["n_paragraphs"], r["families"], r["h"]) for r in licences.scan(rows, licences.fit(rows)).collect())
+    assert got == [(1, 0, [], "x"), (2, 0, [], "x"), (3, 0, [], "x"), (3, 0, [], "x"), (4, 1, ["mit"], "x")]
