@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
-from tabulon.llm.tables import bounded_broadcast, components, small_batches, written
+from tabulon.llm.tables import bounded_broadcast, components, drop, rows_among, small_batches, stored, written
 
 #: Tokens in the broadcast table of frequent ones: 12 bytes each, so 3 MB at any size of the corpus.
 FREQUENT = 1 << 18
@@ -118,8 +118,12 @@ def _most(n: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> np.ndar
     return np.minimum(n - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
 
 
-def _sketches(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """row (a key of its own), doc_id, n_shingles, set_id (16 bytes, null for no set), prefix (packed tokens), bitmap, text."""
+def _sketches(docs: DataFrame, n: int, percent: int, frequent, keyed: bool) -> DataFrame:
+    """row (a key of its own), doc_id, n_shingles, set_id (16 bytes, null for no set), prefix (packed tokens), bitmap, text.
+
+    keyed: row is the doc_id, and there is no text.
+    """
+    names = ["row", "doc_id", "n_shingles", "set_id", "prefix", "bitmap"] + ["text"] * (not keyed)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +154,14 @@ def _sketches(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                     out[1].append(_set_id(s))
                     out[2].append(prefix[:keep].tobytes())
                     out[3].append(_bitmap(s))
-                rows = pa.array(np.arange(row, row + len(sets)))
+                own = ids.slice(first, len(sets))
+                rows = own if keyed else pa.array(np.arange(row, row + len(sets)))
                 row += len(sets)
-                yield pa.RecordBatch.from_arrays([rows, ids.slice(first, len(sets)), pa.array(out[0], pa.int64()), *(pa.array(o, pa.binary()) for o in out[1:]), batch.column(1).slice(first, len(sets))], ["row", "doc_id", "n_shingles", "set_id", "prefix", "bitmap", "text"])
+                texts = [] if keyed else [batch.column(1).slice(first, len(sets))]
+                yield pa.RecordBatch.from_arrays([rows, own, pa.array(out[0], pa.int64()), *(pa.array(o, pa.binary()) for o in out[1:]), *texts], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "row long, doc_id long, n_shingles long, set_id binary, prefix binary, bitmap binary, text string")
+    schema = "row long, doc_id long, n_shingles long, set_id binary, prefix binary, bitmap binary" + ", text string" * (not keyed)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, schema)
 
 
 class Tree:
@@ -305,7 +312,7 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         count = np.diff(np.append(start, len(token)))
         run = np.repeat(np.arange(len(start)), count)
         with np.errstate(over="ignore"):
-            mixed = tb.mix(owner.view(np.uint64))
+            mixed = tb.mix(owner.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))  # mix(0) is 0, and a row may be 0
             key = np.stack([np.add.reduceat(mixed, start), np.add.reduceat(tb.mix(mixed), start)])
         whole = np.ones(len(start), bool)
         whole[0], whole[-1] = not cut_run, whole[-1] and not ends_inside
@@ -387,12 +394,15 @@ def _bucket_edges(percent: int):
     return work
 
 
-def _chunk_edges(percent: int):
+def _chunk_edges(n: int, percent: int):
     def work(run: pa.Table) -> list[tuple[int, int]]:
         run, ids = _distinct(run)
         if len(ids) < 2:
             return []
-        sets = [np.frombuffer(x, np.uint64) for x in run.column("tokens").to_pylist()]
+        if "text" in run.column_names:
+            sets = [s for _, some in set_slices(run.column("text"), n) for s in some]
+        else:
+            sets = [np.frombuffer(x, np.uint64) for x in run.column("tokens").to_pylist()]
         group = left = None
         if "group" in run.column_names:
             group, left = run.column("group").to_numpy(), run.column("left").to_numpy()
@@ -402,7 +412,7 @@ def _chunk_edges(percent: int):
     return work
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
     Words are runs of non-space bytes of the text with A-Z lower-cased. A document's set holds its distinct n-word
@@ -411,14 +421,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     A document with an empty set links with nothing. Repeated rows are documents of their own, one result each. A row
     without doc_id counts for the links of others and has component_id null if no row it reaches has an id.
     Other columns of docs take no part. Empty input gives an empty result.
+
+    keyed: docs is a written table, and its doc_ids are distinct, not null and count up from a few numbers; its texts are
+    read again then, not copied. Tables that the result doesn't read are deleted on the way.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small_batches(docs.sparkSession)
-    sketches = written(_sketches(docs, n, percent, _frequent(docs, n)), "jaccard-sketches")
+    spark = docs.sparkSession
+    small_batches(spark)
+    sketches, sketches_at = stored(_sketches(docs, n, percent, _frequent(docs, n), keyed), "jaccard-sketches")
+    ids = written(sketches.select("row", "doc_id", "n_shingles", "set_id"), "jaccard-ids")
     # a class is known by the least row that has its set, whatever ids the rows have
-    classes = sketches.where("set_id is not null").groupBy("set_id").agg(F.min("row").alias("owner"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = ids.where("set_id is not null").groupBy("set_id").agg(F.min("row").alias("owner"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "jaccard-classes")
-    small = written(sketches.select(F.col("row").alias("owner"), F.col("n_shingles").alias("n"), "prefix", "bitmap").join(classes.select("owner"), "owner"), "jaccard-prefixes")
+    owners = rows_among(sketches.drop("text").withColumnRenamed("row", "owner"), "owner", classes)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,11 +444,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
                 at = np.repeat(np.arange(len(part)), [len(p) // 8 for p in part])
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), batch.column(0).slice(a, len(part)).take(pa.array(at))], ["token", "owner"])
 
-    tokens = small.select("owner", "prefix").mapInArrow(unpack, "token long, owner long")
+    tokens = owners.select("owner", "prefix").mapInArrow(unpack, "token long, owner long")
     shared = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_tokens, "token long, a long, b long")
-    shared = written(shared, "jaccard-tokens")
-    small = small.drop("prefix")
-    pairs = shared.where("token is null").select("a", "b").distinct().join(small.select(F.col("owner").alias("a"), "n", F.col("bitmap").alias("x")), "a").join(small.select(F.col("owner").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y")), "b")
+    shared, shared_at = stored(shared, "jaccard-tokens")
+    small = owners.select("owner", F.col("n_shingles").alias("n"), "bitmap")
+    # sizes first: most pairs that share a rare token differ too much in them, and go before bitmaps are dealt
+    pairs = shared.where("token is null").select("a", "b").distinct().join(small.select(F.col("owner").alias("a"), "n"), "a").join(small.select(F.col("owner").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y")), "b")
+    pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).join(small.select(F.col("owner").alias("a"), F.col("bitmap").alias("x")), "a")
     pairs = pairs.mapInArrow(_pair_edges(percent), _EDGES)
     members = shared.where("token is not null").select("token", F.col("a").alias("owner"))
     # a bucket beyond a chunk becomes part of one block as it is; its block's chunks go through their trees below
@@ -442,6 +459,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     buckets = members.join(large, "token", "left_anti").join(small, "owner").select("token", "owner", "n", "bitmap")
     maybe = pairs.unionByName(buckets.repartition("token").sortWithinPartitions("token").mapInArrow(_runs("token", _bucket_edges(percent), _EDGE), _EDGES)).unionByName(joined)
     blocks = written(components(maybe, "jaccard-blocks").select(F.col("node").alias("owner"), F.col("component").alias("block")), "jaccard-blocks")
+    drop(spark, shared_at)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -453,17 +471,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     several_blocks = not wide.isEmpty()
     sized = blocks.join(bounded_broadcast(wide, 24), "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     sized = sized.withColumn("chunk", F.pmod(F.xxhash64("owner"), F.col("chunks")))
-    texts = sketches.select(F.col("row").alias("owner"), "text").join(bounded_broadcast(blocks.select("owner"), 24), "owner")
-    sets = written(texts.mapInArrow(exact, "owner long, tokens binary"), "jaccard-sets")
+    texts = docs.select(F.col("doc_id").alias("owner"), "text") if keyed else sketches.select(F.col("row").alias("owner"), "text")
     # every chunk of a block with the block's first class in it
     first = sized.where("owner = block and chunks > 1").select("owner", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
-    rows = sized.select("owner", "block", "chunk").unionByName(first).join(sets, "owner")
-    key = F.xxhash64("block", "chunk").alias("key")
-    edges = rows.select(key, "owner", "tokens").repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(percent), _EDGE), _EDGES)
+    rows = sized.select("owner", "block", "chunk").unionByName(first).select(F.xxhash64("block", "chunk").alias("key"), "owner")
+    rows = rows_among(texts, "owner", blocks).join(bounded_broadcast(rows, 24), "owner").select("key", "owner", "text")
+    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(n, percent), _EDGE), _EDGES)
     found = components(edges, "jaccard-groups")
     if several_blocks:  # what isn't in a block's largest group meets every chunk
         several = sized.where("chunks > 1").join(found.withColumnRenamed("node", "owner"), "owner", "left").withColumn("group", F.coalesce("component", "owner"))
         several = written(several, "jaccard-several")
+        sets, sets_at = stored(rows_among(texts, "owner", several).mapInArrow(exact, "owner long, tokens binary"), "jaccard-sets")
         sizes = several.groupBy("block", "group").agg(F.count(F.lit(1)).alias("c"))
         main = sizes.groupBy("block").agg(F.max_by("group", F.struct("c", "group")).alias("main"))
         several = several.join(bounded_broadcast(main, 24), "block").withColumn("left", F.col("group") != F.col("main"))
@@ -473,12 +491,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
         lefts = part.where("left").withColumn("part", F.pmod(F.xxhash64("owner", F.lit(7)), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select("owner", "block", "group", "part", "chunk", "left")
         both = lefts.unionByName(slots).groupBy("owner", "block", "group", "part", "chunk").agg(F.max("left").alias("left"))
         both = both.join(sets, "owner").select(F.xxhash64("block", "part", "chunk").alias("key"), "owner", "tokens", "group", "left")
-        more = both.repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(percent), _EDGE), _EDGES)
+        more = both.repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(n, percent), _EDGE), _EDGES)
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard-components")
+        drop(spark, sets_at)
+    drop(spark, sketches_at)
     top = classes.join(found.withColumnRenamed("node", "owner"), "owner", "left").withColumn("component", F.coalesce("component", "owner")).where("copies > 1 or component <> owner or least is null")
     top = written(top.unionByName(classes.join(found.select(F.col("component").alias("owner")).distinct(), "owner").withColumn("component", F.col("owner"))).dropDuplicates(["owner"]).select("set_id", "least", "component"), "jaccard-result")
     least = top.groupBy("component").agg(F.min("least").alias("component_id"))
     final = top.join(bounded_broadcast(least, 24), "component").select("set_id", "component_id", F.lit(True).alias("linked"))
-    out = sketches.select("doc_id", "n_shingles", "set_id").join(bounded_broadcast(final, 64), "set_id", "left")
+    out = ids.select("doc_id", "n_shingles", "set_id").join(bounded_broadcast(final, 64), "set_id", "left")
     # a row whose set no other row has or is linked with stands for itself
     return out.select("doc_id", "n_shingles", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

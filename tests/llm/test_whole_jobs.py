@@ -1,13 +1,18 @@
 """Tests that an operator does all of its job, where it once did less."""
 
 import random
+import time
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulon.llm import language, licences, url_filter
+from tabulon.llm import jaccard_join, language, licences, url_filter
+from tabulon.llm.tables import rows_among, shared_folder, written
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +66,45 @@ def test_near_duplicates_go_by_row(spark, sf):
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf).collect()
     groups = sorted(((r["doc_id"], (r["text"] or "-")[0]) for r in kept), key=str)
     assert groups == sorted([(3, "a"), (5, "b"), (7, "c"), (None, "d"), (8, "-"), (8, "-"), (8, "-")], key=str)
+
+
+def test_the_first_row_keeps_its_links():
+    """Owner 0 counts among a token's owners: those of token 2 aren't those of token 1."""
+    tokens = pa.RecordBatch.from_arrays([pa.array([1, 2, 2]), pa.array([1, 0, 1])], ["token", "owner"])
+    assert [r for b in jaccard_join._shared_tokens(iter([tokens])) for r in b.to_pylist()] == [{"token": None, "a": 0, "b": 1}]
+
+
+def _bytes(spark):
+    """Bytes of tables by the first words of their names, and of shuffle files."""
+    top, seen = Path(shared_folder(spark).removeprefix("file://")), Counter()
+    for f in top.rglob("*.parquet"):
+        seen[f.relative_to(top).parts[0].rsplit("-", 1)[0]] += f.stat().st_size
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return seen, sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data"))
+
+
+def test_near_duplicates_leave_no_texts_or_shuffles_on_disk(spark, sf, prose):
+    """What a written table was made from goes when it isn't read any more; keyed rows aren't copied."""
+    before, shuffled = _bytes(spark)
+    found = jaccard_join.near_duplicates(prose.select("doc_id", "text"))
+    for _ in range(50):  # shuffle files go in the background
+        after, now = _bytes(spark)
+        if now - shuffled < 100_000:
+            break
+        time.sleep(0.1)
+    size = prose.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert now - shuffled < 100_000 and sum((after - before).values()) < 0.05 * size
+    keyed = written(prose.select("doc_id", "text"), "keyed")
+    again = jaccard_join.near_duplicates(keyed, keyed=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, again.collect()))
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_rows_among_tells_every_key(spark, limit):
+    keys = [0, 5, 7, 8, 32767, 32768, (1 << 33) + 3, (1 << 40) + 70_000]
+    near = sorted({k + d for k in keys for d in (-1, 0, 1)} - {-1})
+    df = spark.createDataFrame([(k, str(k)) for k in near], "row long, `kept column` string")
+    some = spark.createDataFrame([(k,) for k in keys * 2], "row long")
+    assert sorted(r["row"] for r in rows_among(df, "row", some, limit=limit).collect()) == keys
+    assert sorted(r["row"] for r in rows_among(df, "row", some, inside=False, limit=limit).collect()) == sorted({*near} - {*keys})
+    assert rows_among(df, "row", some.where("false"), limit=limit).count() == 0 and rows_among(df, "row", some.where("false"), inside=False, limit=limit).count() == len(near)
