@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, jaccard_join, language, quality, sentencepieces
 from tabulon.llm.queries import piece_model, table
-from tabulon.llm.tables import bounded_broadcast, written
+from tabulon.llm.tables import bounded_broadcast, drop, rows_among, stored, written
 
 #: Documents scored below this are rejected; documents with this many benchmark items in them go.
 QUALITY, LEAKED_ITEMS = 0.3, 1
@@ -44,12 +44,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows, back = aside(docs, "doc_id", "text")
     keyed = written(rows.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
-    found = jaccard_join.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    found = jaccard_join.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"), keyed=True).where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row").alias("place")
     groups = written(found.join(keyed.select("row", place), "row"), "pipeline-groups")
     keepers = groups.groupBy("component_id").agg(F.min("place").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("keeper.row").alias("keeper"))
     gone = groups.join(bounded_broadcast(keepers, 16), "component_id").where("row <> keeper").select("row")
-    return back(keyed.join(bounded_broadcast(gone, 16), "row", "left_anti"))
+    return back(rows_among(keyed, "row", gone, inside=False))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,8 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's rows are deleted when the next one's are written."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        drop(spark, *last)
+        last = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

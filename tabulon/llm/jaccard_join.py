@@ -31,6 +31,8 @@ from tabulon.llm.tables import bounded_broadcast, components, drop, rows_among,
 FREQUENT = 1 << 18
 #: Bitmaps have 2 ** 9 to 2 ** 17 bits; classes of a chunk; documents of a leaf; classes of a bucket taken pair by pair.
 WIDTHS, CHUNK, LEAF, FEW = (9, 17), 1024, 32, 6
+#: Rows of tokens that a task holds at a time.
+RUN = 1 << 18
 
 
 def set_slices(column: pa.Array, n: int):
@@ -301,58 +303,81 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Of rows (token, owner) sorted by token, the tokens that stand in several rows.
 
     Tokens with up to FEW rows give their pairs of owners (token null), the others a row (token, owner, null) for each
-    owner; what a task has given for the same owners within its last million rows isn't repeated.
+    owner; what a task has given for the same owners within its last RUN such rows isn't repeated. Most tokens stand in
+    one row, and go first.
     """
-    held: list[np.ndarray] = []
-    size, cut_run = 0, False  # cut_run: held begins inside a run that was given in part
+    rows: list[np.ndarray] = []
+    several: list[np.ndarray] = []
+    size, kept, cut_run = 0, 0, False  # cut_run: rows begin inside a run that was given in part
 
-    def give(token, owner, ends_inside):
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        start = np.flatnonzero(new)
+    def members(token, owner):
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(owner), pa.nulls(len(token), pa.int64())], schema=_SHARED)
+
+    def sift(token, owner, ends_inside):
+        """The rows of whole runs of several, and those of runs that are cut."""
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(start, len(token)))
+        whole = np.ones(len(start), bool)
+        whole[0] = not cut_run
+        whole[-1] &= not ends_inside
+        more, part = np.repeat(whole & (count > 1), count), np.repeat(~whole, count)
+        return np.stack([token[more], owner[more]]), np.stack([token[part], owner[part]])
+
+    def give():
+        token, owner = np.concatenate(several, axis=1)
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(start, len(token)))
-        run = np.repeat(np.arange(len(start)), count)
         with np.errstate(over="ignore"):
             mixed = tb.mix(owner.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))  # mix(0) is 0, and a row may be 0
             key = np.stack([np.add.reduceat(mixed, start), np.add.reduceat(tb.mix(mixed), start)])
-        whole = np.ones(len(start), bool)
-        whole[0], whole[-1] = not cut_run, whole[-1] and not ends_inside
-        if len(start) == 1:
-            whole[0] = not (cut_run or ends_inside)
         once = np.zeros(len(start), bool)
         once[np.unique(key, axis=1, return_index=True)[1]] = True
-        few = whole & (count > 1) & (count <= FEW) & once
         pairs = []
         for c in range(2, FEW + 1):
-            at = start[few & (count == c)]
+            at = start[once & (count == c)]
             i, j = np.triu_indices(c, 1)
             pairs.append(np.stack([owner[(at[:, None] + i).ravel()], owner[(at[:, None] + j).ravel()]]))
         pairs = np.concatenate(pairs, axis=1)
         pairs = np.unique(np.sort(pairs, axis=0), axis=1) if pairs.size else pairs
         if pairs.size:
             yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], schema=_SHARED)
-        rows = (~whole | ((count > FEW) & once))[run]
-        if rows.any():
-            yield pa.RecordBatch.from_arrays([pa.array(token[rows]), pa.array(owner[rows]), pa.nulls(int(rows.sum()), pa.int64())], schema=_SHARED)
+        many = np.repeat((count > FEW) & once, count)
+        if many.any():
+            yield members(token[many], owner[many])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
-        size += batch.num_rows
-        if size >= 1_000_000:
-            token, owner = np.concatenate(held, axis=1)
+    def blocks():
+        """(tokens, owners, ends_inside) of at least RUN rows, cut before the last run if there are others."""
+        nonlocal rows, size, cut_run
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+            size += batch.num_rows
+            if size < RUN:
+                continue
+            token, owner = np.concatenate(rows, axis=1)
             cut = int(np.searchsorted(token, token[-1]))
             if cut:
-                yield from give(token[:cut], owner[:cut], False)
-                held, cut_run = [np.stack([token[cut:], owner[cut:]])], False
+                yield token[:cut], owner[:cut], False
+                rows, size, cut_run = [np.stack([token[cut:], owner[cut:]])], len(token) - cut, False
             else:
-                yield from give(token, owner, True)
-                held, cut_run = [np.stack([token[:0], owner[:0]])], True
-            size = len(token) - cut if cut else 0
-    if held:
-        token, owner = np.concatenate(held, axis=1)
-        if len(token):
-            yield from give(token, owner, False)
+                yield token, owner, True
+                rows, size, cut_run = [], 0, True
+        if rows:
+            yield *np.concatenate(rows, axis=1), False
+
+    for block in blocks():
+        more, part = sift(*block)
+        if part.size:
+            yield members(*part)
+        if more.size:
+            several.append(more)
+            kept += more.shape[1]
+        if kept >= RUN:
+            yield from give()
+            several, kept = [], 0
+    if several:
+        yield from give()
 
 
 def _pair_edges(percent: int):

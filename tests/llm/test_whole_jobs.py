@@ -74,6 +74,22 @@ def test_the_first_row_keeps_its_links():
     assert [r for b in jaccard_join._shared_tokens(iter([tokens])) for r in b.to_pylist()] == [{"token": None, "a": 0, "b": 1}]
 
 
+@pytest.mark.parametrize("run", [50, 1 << 18])
+def test_shared_tokens_in_runs_of_any_length(monkeypatch, run):
+    """All pairs of owners of a token are connected, by pairs or rows, and a token of one row gives nothing."""
+    monkeypatch.setattr(jaccard_join, "RUN", run, raising=False)
+    g = random.Random(3)
+    rows = sorted((t, o) for t in range(-200, 200) for o in g.sample(range(300), g.choice([1, 1, 1, 2, 3, 6, 7, 30, 200])))
+    token, owner = (pa.array(c) for c in zip(*rows, strict=True))
+    batches = [pa.RecordBatch.from_arrays([token.slice(k, 17), owner.slice(k, 17)], ["token", "owner"]) for k in range(0, len(rows), 17)]
+    got = [r for b in jaccard_join._shared_tokens(iter(batches)) for r in b.to_pylist()]
+    pairs = {(r["a"], r["b"]) for r in got if r["token"] is None}
+    sets = lambda rows: {t: frozenset(o for u, o in rows if u == t) for t in {t for t, _ in rows}}
+    want, many = sets(rows), set(sets([(r["token"], r["a"]) for r in got if r["token"] is not None]).values())
+    assert all(len(o) == 1 or o in many or all((a, b) in pairs for a in o for b in o if a < b) for o in want.values())
+    assert pairs <= {(a, b) for o in want.values() if len(o) <= 6 for a in o for b in o if a < b}
+
+
 def _bytes(spark):
     """Bytes of tables by the first words of their names, and of shuffle files."""
     top, seen = Path(shared_folder(spark).removeprefix("file://")), Counter()
@@ -108,3 +124,12 @@ def test_rows_among_tells_every_key(spark, limit):
     assert sorted(r["row"] for r in rows_among(df, "row", some, limit=limit).collect()) == keys
     assert sorted(r["row"] for r in rows_among(df, "row", some, inside=False, limit=limit).collect()) == sorted({*near} - {*keys})
     assert rows_among(df, "row", some.where("false"), limit=limit).count() == 0 and rows_among(df, "row", some.where("false"), inside=False, limit=limit).count() == len(near)
+
+
+def test_pipeline_keeps_one_stage_on_disk(spark, sf):
+    before, _ = _bytes(spark)
+    rows = corpus_pipeline.run(spark, sf)
+    after, _ = _bytes(spark)
+    assert {k for k in after - before if k.startswith("pipeline-")} <= {"pipeline-rows", "pipeline-groups", "pipeline-benchmark-decontamination"}
+    assert not {"jaccard-sketches", "jaccard-sets", "jaccard-tokens"} & {*(after - before)}
+    assert rows.count() > 0
