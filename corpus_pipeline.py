@@ -60,7 +60,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the piece ids of the whole text, with a digest of the text that they decode to."""
-    coded = sentencepieces.decode(sentencepieces.encode(docs.select("doc_id", "text"), piece_model()), piece_model())
+    coded = sentencepieces.encode(docs.select("doc_id", "text"), piece_model(), decoded="decoded")
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -13,7 +13,7 @@ word's occurrence, and a task holds one block's distinct units and a few megabyt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -166,6 +166,11 @@ def _spread(units: DataFrame, least: int, longest: int) -> DataFrame:
     return spread.withColumn("piece", F.expr("substring(unit, start + 1, size)"))
 
 
+def _piece_table(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A few ten thousand rows of a model file, whatever the corpus. As Arrow data they start no Python workers, which would stay a while."""
+    return spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(columns.items())}))
+
+
 def _bpe_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """The merges of every unit, as a fold over its edges in order of (score, start); the state is a bit mask of boundaries.
 
@@ -180,8 +185,8 @@ def _bpe_units(units: DataFrame, pieces: Pieces) -> DataFrame:
         parts = ((p[:k], p[k:]) for k in range(1, len(p)))
         return any(x in scores and len(x) > 1 and scores[x] <= scores[p] for pair in parts for x in pair)
 
-    # a few ten thousand rows of a model file, whatever the corpus
-    table = units.sparkSession.createDataFrame([(p, rank[s], i << 1 | late(p)) for p, i, s in pieces.rows if len(p) > 1], "piece string, rank long, id long")
+    joined = [(p, rank[s], i << 1 | late(p)) for p, i, s in pieces.rows if len(p) > 1]
+    table = _piece_table(units.sparkSession, joined, piece=pa.string(), rank=pa.int64(), id=pa.int64())
     edges = _spread(units, 2, pieces.longest).join(F.broadcast(table), "piece", "left").where("id is not null or start is null or (start = 0 and size = 2)")
     edge = F.expr("""if(id is null, null, struct(((rank * 64 + start) << 21) + id as o,
         shiftleft(1L, start) | shiftleft(1L, start + size) as ends, shiftleft(1L, start + size) - shiftleft(2L, start) as inside))""")
@@ -209,7 +214,7 @@ def _bpe_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 def _unigram_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """The path with the best sum of scores through every unit's lattice; a character without a piece costs more than any piece."""
     low = min(s for _, _, s in pieces.rows) - 10
-    table = units.sparkSession.createDataFrame([(p, i, s) for p, i, s in pieces.rows], "piece string, id int, score double")
+    table = _piece_table(units.sparkSession, pieces.rows, piece=pa.string(), id=pa.int32(), score=pa.float64())
     edges = _spread(units, 1, pieces.longest).join(F.broadcast(table), "piece", "left").where("id is not null or (start = 0 and size = 1)")
     edge = F.expr("if(id is null, null, struct(start as a, start + size as z, id as id, score as s))")
     others = [c for c in units.columns if c != "unit"]
@@ -228,13 +233,14 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     return (_bpe_units if pieces.bpe else _unigram_units)(units, pieces)
 
 
-def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, model: str, block: int = BLOCK, decoded: str | None = None) -> DataFrame:
     """docs with ids (array of int), which replaces a column of that name: the model's piece ids of each whole text.
 
     They equal SentencePiece's own. Null and empty texts have no ids. Repeated rows are encoded alike; an empty table
-    gives an empty result.
+    gives an empty result. decoded names a column for the text of the ids, which equals decode()'s: the workers that put
+    the ids together make it, where decode() over encode() keeps a second worker for every task.
     """
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *([decoded] if decoded else []))
     small_batches(docs.sparkSession)
     pieces = pieces_of(model)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -251,7 +257,8 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
     low = f"filter(sequence(0, {_GROUP - 1}), b -> (shiftright(x.mask, b) & 1) = 1)"
     needs = F.expr(f"flatten(transform(needs, x -> transform({low}, b -> x.g * {_GROUP} + b)))")
     coded = encode_units(units, pieces).select("unit", "ids", needs.alias("blocks")).mapInArrow(_dictionary, _BUNDLE)
-    schema = docs.select("*", F.lit(None).cast("array<int>").alias("ids")).schema
+    schema = docs.select("*", F.lit(None).cast("array<int>").alias("ids"), *([F.lit("").alias(decoded)] if decoded else [])).schema
+    texts = _texts(pieces) if decoded else None
     both = coded.unionByName(docs.select(block_of, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(_bundles, _BUNDLE))
     inside, path = pieces.inside, model
 
@@ -291,9 +298,12 @@ def encode(docs: DataFrame, model: str, block: int = BLOCK) -> DataFrame:
                     total = np.concatenate([[0], np.cumsum(here)])
                     out = flat[np.repeat(begin - total[:-1], here) + np.arange(total[-1])]
                     rows = pa.ListArray.from_arrays(pa.array(total[at_unit].astype(np.int32)), pa.array(out.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([*(part.column(i).slice(first, last - first) for i in range(len(names))), rows], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i).slice(first, last - first) for i in range(len(names))), rows, *([texts(rows)] if texts else [])], names=schema.names)
+        held = key = ids = size = start = part = None
+        tb.trim(0)
 
-    return both.repartition(int(min(PARTS, blocks)), "__block").sortWithinPartitions("__block", "__kind").mapInArrow(assemble, schema)
+    parts = int(min(PARTS, blocks))  # by number: hashes of a few blocks would put several into one task
+    return both.repartitionById(parts, F.pmod("__block", F.lit(parts)).cast("int")).sortWithinPartitions("__block", "__kind").mapInArrow(assemble, schema)
 
 
 _BUNDLE = "__block long, __kind int, payload binary"
@@ -352,18 +362,39 @@ def _library_ids(library, unit: str) -> list[int]:
     return library.encode("\n" + unit)[len(head) :]
 
 
+def _texts(pieces: Pieces) -> Callable[[pa.ListArray], pa.Array]:
+    """What makes the texts of a column of ids."""
+    byte = {i: b for b, i in enumerate(pieces.byte)} if pieces.fallback else {}
+    normal = {i: p for p, i, _ in pieces.rows}
+    table = [bytes([byte[i]]) if i in byte else normal.get(i, "").encode() for i in range(len(pieces.names))]
+    size = np.array([len(x) for x in table])
+    start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
+
+    def texts(column: pa.ListArray) -> pa.Array:
+        out = []
+        for x in column:
+            if x.values is None:
+                out.append(None)
+                continue
+            x = x.values.to_numpy()
+            parts = []
+            for a in range(0, len(x), 1 << 18):
+                y = x[a : a + (1 << 18)]
+                n = size[y]
+                parts.append(flat[np.repeat(start[y] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+            out.append(b"".join(parts).decode("utf-8", "replace").removeprefix(" "))
+        return pa.array(out, pa.string())
+
+    return texts
+
+
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of its ids: the pieces' bytes joined, marks as spaces, without the first space.
 
     Null ids decode to null, none to the empty text; control pieces have no text, bytes that are no UTF-8 become
     replacement characters.
     """
-    pieces = pieces_of(model)
-    byte = {i: b for b, i in enumerate(pieces.byte)} if pieces.fallback else {}
-    normal = {i: p for p, i, _ in pieces.rows}
-    table = [bytes([byte[i]]) if i in byte else normal.get(i, "").encode() for i in range(len(pieces.names))]
-    size = np.array([len(x) for x in table])
-    start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
+    texts = _texts(pieces_of(model))
     small_batches(df.sparkSession)
     df = df.drop(out)
     schema = df.select("*", F.lit("").alias(out)).schema
@@ -371,19 +402,6 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, texts = batch.column(at), []
-            for k in range(batch.num_rows):
-                x = column[k].values
-                if x is None:
-                    texts.append(None)
-                    continue
-                x = x.to_numpy()
-                parts = []
-                for a in range(0, len(x), 1 << 18):
-                    y = x[a : a + (1 << 18)]
-                    n = size[y]
-                    parts.append(flat[np.repeat(start[y] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
-                texts.append(b"".join(parts).decode("utf-8", "replace").removeprefix(" "))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts(batch.column(at))], names=schema.names)
 
     return df.mapInArrow(run, schema)

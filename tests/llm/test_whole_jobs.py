@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulon.llm import jaccard_join, language, licences, url_filter
+from tabulon.llm import jaccard_join, language, licences, queries, sentencepieces, url_filter
 from tabulon.llm.tables import rows_among, shared_folder, written
 
 
@@ -133,3 +133,16 @@ def test_pipeline_keeps_one_stage_on_disk(spark, sf):
     assert {k for k in after - before if k.startswith("pipeline-")} <= {"pipeline-rows", "pipeline-groups", "pipeline-benchmark-decontamination"}
     assert not {"jaccard-sketches", "jaccard-sets", "jaccard-tokens"} & {*(after - before)}
     assert rows.count() > 0
+
+
+def test_piece_encoding_holds_few_workers_and_blocks(spark, sf, prose):
+    """A task has one Python worker, no other kind of worker starts for the piece table, and every block has a task of its own."""
+    docs = prose.select("doc_id", "text")
+    for df in queries.op8_sentencepiece(spark, sf), corpus_pipeline.encode_pieces(spark, docs, sf):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 4 and "Scan ExistingRDD" not in plan and "LocalTableScan" in plan
+    size, model = docs.agg(F.sum(F.octet_length("text"))).first()[0], queries.piece_model()
+    coded = sentencepieces.encode(docs, model, block=-(-size // 13), decoded="again").withColumn("part", F.spark_partition_id())
+    assert coded.select("part").distinct().count() == 13
+    two = sentencepieces.decode(sentencepieces.encode(docs, model), model, out="again")
+    assert coded.drop("part").exceptAll(two).count() == 0 and coded.where("again <> text").count() == 0 and coded.count() == docs.count()
