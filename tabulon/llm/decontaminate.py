@@ -11,7 +11,6 @@ some six times those bytes, which is then broadcast as it is to all documents.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
@@ -214,14 +213,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
     if not total:
         work = work.mapInArrow(search(spark.sparkContext.broadcast(pickle.dumps(Windows([], size)))), schema)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in batch.column(held + 1).to_pylist()]
-            items = [x or [] for x in batch.column(held + 2).to_pylist()]
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            n_items = np.array([len(x) for x in items], np.int64)
-            new = [batch.column(held), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digest, pa.string()), pa.array(n_items >= least_items)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:held], *new], names=[*schema.names[:held], *names])
-
-    final = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items_sha256"), F.lit(False).alias("contaminated")).schema
-    return work.mapInArrow(count, final)
+    hits, items = F.col(f"`{hits_name}`"), F.coalesce(F.col(f"`{items_name}`"), F.array().cast("array<string>"))
+    counted = [
+        "n_words", F.coalesce(F.bitmap_count(hits), F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size(items) >= least_items).alias("contaminated"),
+    ]
+    return work.select(*[F.col(f"`{c}`") for c in docs.columns], *counted)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textbytes as tb
-from tabulon.llm.tables import bounded_broadcast, components, drop, rows_among, small_batches, stored, written
+from tabulon.llm.tables import bounded_broadcast, components, drop, rows_among, small_batches, stars, stars_made, stored, written
 
 #: Tokens in the broadcast table of frequent ones: 12 bytes each, so 3 MB at any size of the corpus.
 FREQUENT = 1 << 18
@@ -293,7 +293,6 @@ def _runs(keys: str, work, out: pa.Schema):
 
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_EDGES = "a long, b long"
 
 
 _SHARED = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -476,13 +475,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, keyed: bool
     # sizes first: most pairs that share a rare token differ too much in them, and go before bitmaps are dealt
     pairs = shared.where("token is null").select("a", "b").distinct().join(small.select(F.col("owner").alias("a"), "n"), "a").join(small.select(F.col("owner").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y")), "b")
     pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).join(small.select(F.col("owner").alias("a"), F.col("bitmap").alias("x")), "a")
-    pairs = pairs.mapInArrow(_pair_edges(percent), _EDGES)
+    pairs = stars_made(pairs, _pair_edges(percent))
     members = shared.where("token is not null").select("token", F.col("a").alias("owner"))
     # a bucket beyond a chunk becomes part of one block as it is; its block's chunks go through their trees below
     large = bounded_broadcast(members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("owner").alias("head")).where(F.col("c") > CHUNK).select("token", "head"), 24)
     joined = members.join(large, "token").select(F.col("owner").alias("a"), F.col("head").alias("b"))
     buckets = members.join(large, "token", "left_anti").join(small, "owner").select("token", "owner", "n", "bitmap")
-    maybe = pairs.unionByName(buckets.repartition("token").sortWithinPartitions("token").mapInArrow(_runs("token", _bucket_edges(percent), _EDGE), _EDGES)).unionByName(joined)
+    maybe = pairs.unionByName(stars_made(buckets.repartition("token").sortWithinPartitions("token"), _runs("token", _bucket_edges(percent), _EDGE))).unionByName(stars(joined))
     blocks = written(components(maybe, "jaccard-blocks").select(F.col("node").alias("owner"), F.col("component").alias("block")), "jaccard-blocks")
     drop(spark, shared_at)
 
@@ -501,7 +500,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, keyed: bool
     first = sized.where("owner = block and chunks > 1").select("owner", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
     rows = sized.select("owner", "block", "chunk").unionByName(first).select(F.xxhash64("block", "chunk").alias("key"), "owner")
     rows = rows_among(texts, "owner", blocks).join(bounded_broadcast(rows, 24), "owner").select("key", "owner", "text")
-    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(n, percent), _EDGE), _EDGES)
+    edges = stars_made(rows.repartition("key").sortWithinPartitions("key"), _runs("key", _chunk_edges(n, percent), _EDGE))
     found = components(edges, "jaccard-groups")
     if several_blocks:  # what isn't in a block's largest group meets every chunk
         several = sized.where("chunks > 1").join(found.withColumnRenamed("node", "owner"), "owner", "left").withColumn("group", F.coalesce("component", "owner"))
@@ -516,8 +515,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, keyed: bool
         lefts = part.where("left").withColumn("part", F.pmod(F.xxhash64("owner", F.lit(7)), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select("owner", "block", "group", "part", "chunk", "left")
         both = lefts.unionByName(slots).groupBy("owner", "block", "group", "part", "chunk").agg(F.max("left").alias("left"))
         both = both.join(sets, "owner").select(F.xxhash64("block", "part", "chunk").alias("key"), "owner", "tokens", "group", "left")
-        more = both.repartition("key").sortWithinPartitions("key").mapInArrow(_runs("key", _chunk_edges(n, percent), _EDGE), _EDGES)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard-components")
+        more = stars_made(both.repartition("key").sortWithinPartitions("key"), _runs("key", _chunk_edges(n, percent), _EDGE))
+        found = components(stars(found.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(more), "jaccard-components")
         drop(spark, sets_at)
     drop(spark, sketches_at)
     top = classes.join(found.withColumnRenamed("node", "owner"), "owner", "left").withColumn("component", F.coalesce("component", "owner")).where("copies > 1 or component <> owner or least is null")

@@ -127,7 +127,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> Model:
         return Model(np.zeros((0, DIMS), np.float32), [])
     share = max(2, sample // len(counts))
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counts], "lang string, wanted double"))
+    # as Arrow data: rows would start Python workers of another kind, which stay a while
+    wanted = F.broadcast(spark.createDataFrame(pa.table({"lang": pa.array([r["lang"] for r in counts], pa.string()), "wanted": pa.array([min(1.0, share / r["count"]) for r in counts], pa.float64())})))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"), F.lit("language"))
     drawn = docs.withColumn("key", key).join(wanted, "lang").where(F.col("key") / F.lit(2.0**64) + 0.5 < F.col("wanted")).select("key", "lang", "text")
 

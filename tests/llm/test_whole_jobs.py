@@ -1,6 +1,7 @@
 """Tests that an operator does all of its job, where it once did less."""
 
 import random
+import re
 import time
 from collections import Counter
 from pathlib import Path
@@ -135,6 +136,21 @@ def test_pipeline_keeps_one_stage_on_disk(spark, sf):
     assert rows.count() > 0
 
 
+def test_pipeline_runs_one_python_worker_a_task(spark, sf, prose):
+    """No stage hands rows from one Python worker to the next in a task, and none starts workers for a table of its own."""
+    store, seen = spark._jsparkSession.sharedState().statusStore(), []
+    before = store.executionsCount()
+    docs = prose
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf.replace("0.001", "0.01")), name.replace(" ", "-"))
+    runs = store.executionsList()
+    for i in range(before, runs.size()):
+        seen.append(runs.apply(i).physicalPlanDescription())
+    assert sum("MapInArrow" in plan for plan in seen) > 5
+    chained = re.compile(r"MapInArrow \(\d+\)(?:\n[ :+-]*(?:\* )?(?:Project|Filter|Union|CollectMetrics) \(\d+\))*\n[ :+-]*MapInArrow")
+    assert not [plan for plan in seen if chained.search(plan) or "Scan ExistingRDD" in plan]
+
+
 def test_piece_encoding_holds_few_workers_and_blocks(spark, sf, prose):
     """A task has one Python worker, no other kind of worker starts for the piece table, and every block has a task of its own."""
     docs = prose.select("doc_id", "text")
