@@ -114,3 +114,14 @@ def test_rank_trend_and_hlookup_edges(spark):
     probes = spark.createDataFrame([("A",), ("b",), ("c",), (None,)], "k string")
     assert {r["k"]: r["value"] for r in lookup.hlookup(probes, "k", wide, 2, "n", approximate=False).collect()} == {"A": "1", "b": "2", "c": None, None: None}
     assert {r["value"] for r in lookup.hlookup(probes, "k", wide, 3, "n").collect()} == {None}
+
+
+def test_next_smaller_and_larger_with_more_probes_than_a_range_sample(spark):
+    probes = spark.range(0, 150_000, 1, 6).select("id", (F.col("id") * 7919 % 150_001).cast("double").alias("k"))
+    table = spark.createDataFrame([(1, 40.0), (2, 75_000.0), (3, 140_000.0)], "o int, v double").withColumn("found", F.col("v"))
+    smaller = lookup.xlookup(probes, "k", table, "v", ["found"], "o", match=-1)
+    assert smaller.where("not found <=> case when k >= 140000 then 140000 when k >= 75000 then 75000 when k >= 40 then 40 end").count() == 0
+    larger = lookup.xlookup(probes, "k", table, "v", ["found"], "o", match=1)
+    assert larger.where("not found <=> case when k <= 40 then 40 when k <= 75000 then 75000 when k <= 140000 then 140000 end").count() == 0
+    texts = lookup.xlookup(probes.select("id", F.lpad(F.col("k").cast("long").cast("string"), 6, "0").alias("t")), "t", table.select("o", F.lit("075000").alias("v")), "v", ["o"], "o", match=-1)
+    assert texts.where("not o <=> case when t >= '075000' then 1 end").count() == 0 and texts.count() == 150_000
